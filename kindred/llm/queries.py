@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import decontaminate, minhash, mixing, quality
+from kindred.llm import decontaminate, minhash, mixing, quality, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.written_ids(table(spark, sf_dir, "documents"))
