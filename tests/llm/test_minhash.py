@@ -2,8 +2,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from kindred.llm.components import components
-from kindred.llm.minhash import Match, keep_one, near_duplicates
+from kindred.llm.minhash import Match, bitmap, keep_one, near_duplicates, upper
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,6 +91,16 @@ def test_empty_table(spark):
     assert keep_one(df).count() == 0
 
 
+def test_bitmaps_never_bound_a_common_part_too_low():
+    rng = np.random.default_rng(2)
+    match = Match(bits_most=1 << 10)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 63, 400, np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        bound = upper(len(a), bitmap(a, match), np.array([len(b)]), bitmap(b, match)[None])
+        assert len(np.intersect1d(a, b)) <= bound[0] <= min(len(a), len(b))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
