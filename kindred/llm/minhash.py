@@ -10,7 +10,8 @@
 3. Star round: within each posting every class meets the smallest. Links are confirmed on the full sets and
    contracted, so that a group of near copies is one component before pairs are listed.
 4. Rest round: where a posting still holds several components, all its classes outside its largest
-   component meet the whole posting, in blocks. Pairs that collide often enough are confirmed as well.
+   component meet the whole posting, in blocks. Pairs that collide often enough, and whose similarity has an upper
+   bound (see ``upper``) high enough, are confirmed as well.
 
 No posting is cut and no pair is left out; a group's copies never turn into all its pairs.
 
@@ -43,22 +44,20 @@ class Match:
     #: Posted coordinates of 64 bits, and collisions wanted among them.
     coords: int = 32
     agree: int = 16
-    #: Coordinates of 32 bits that only tell likely pairs from others, kept as one byte each.
-    extra: int = 96
-    extra_agree: int = 64
+    #: Bits of a set's bitmap for each shingle, and for all of them at most.
+    bits_each: int = 16
+    bits_most: int = 1 << 16
     #: Classes that meet in one block.
     block: int = 256
     seed: int = 7
 
     def missed(self) -> float:
-        p = self.percent / 100
-        return binomial_tail(self.coords, p, self.agree) + binomial_tail(self.extra, p, self.extra_agree)
+        return binomial_tail(self.coords, self.percent / 100, self.agree)
 
-    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
-        wide = rng.integers(0, 1 << 63, (2, self.coords), np.uint64) << U64(1) | U64(1)
-        narrow = rng.integers(0, 1 << 31, self.extra, np.uint32) << np.uint32(1) | np.uint32(1)
-        return wide[0], wide[1], narrow
+        factor, shift = rng.integers(0, 1 << 63, (2, self.coords), np.uint64) << U64(1) | U64(1)
+        return factor, shift
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -75,37 +74,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, match: Match) -> DataFrame:
-    """doc_id, n_shingles, and for non-empty sets the digest, the posted pairs and the extra bytes."""
+    """doc_id, n_shingles, and for non-empty sets the digest and the posted pairs."""
 
     def work(group: list[tuple]) -> dict:
-        wide, shift, narrow = match.factors()
+        factor, shift = match.factors()
         sets = [shingle_set(text, match.shingle) for _, text in group]
         sizes = np.array([len(s) for s in sets])
         some = np.flatnonzero(sizes)
         tokens = np.zeros((len(some), match.coords), np.int64)
-        extra = np.zeros((len(some), match.extra), np.uint8)
         if len(some):
             held = np.concatenate([sets[i] for i in some])
             starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
             for c in range(match.coords):
-                tokens[:, c] = mix(segment_min((held ^ shift[c]) * wide[c], starts) ^ U64(c + 1)).view(np.int64)
-            low = held.astype(np.uint32) ^ (held >> U64(32)).astype(np.uint32)
-            for c in range(match.extra):
-                extra[:, c] = (segment_min(low * narrow[c], starts) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+                tokens[:, c] = mix(segment_min((held ^ shift[c]) * factor[c], starts) ^ U64(c + 1)).view(np.int64)
         at = dict(zip(some.tolist(), range(len(some)), strict=True))
         return {
             "doc_id": pa.array([i for i, _ in group], pa.int64()),
             "n_shingles": pa.array(sizes, pa.int64()),
             "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             "tokens": pa.array([tokens[at[i]] if i in at else None for i in range(len(group))], pa.list_(pa.int64())),
-            "extra": pa.array([extra[at[i]].tobytes() if i in at else None for i in range(len(group))], pa.binary()),
         }
 
-    return map_groups(docs, ["doc_id", "text"], work, "doc_id long, n_shingles long, digest binary, tokens array<long>, extra binary")
+    return map_groups(docs, ["doc_id", "text"], work, "doc_id long, n_shingles long, digest binary, tokens array<long>")
 
 
 def postings(classes: DataFrame, match: Match) -> DataFrame:
-    """Prefix pairs of the classes that share enough of theirs: class_id, tokens, extra, prefix array<long>."""
+    """Prefix pairs of the classes that share enough of theirs: class_id, tokens, prefix array<long>."""
     each = classes.select("class_id", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = each.join(shared, "token").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
@@ -113,15 +107,62 @@ def postings(classes: DataFrame, match: Match) -> DataFrame:
     return classes.join(own, "class_id")
 
 
-def agreeing(left: pd.DataFrame, right: pd.DataFrame, match: Match) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs with enough collisions."""
+def bitmap(held: np.ndarray, match: Match) -> np.ndarray:
+    """Words of a bitmap with the bit of each shingle hash set; a power of two of them by the size of the set."""
+    n = min(match.bits_most, 1 << max(6, (match.bits_each * len(held) - 1).bit_length()))
+    bits = np.zeros(n, np.uint8)
+    bits[held & U64(n - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(U64)
+
+
+def bitmaps(texts: DataFrame, match: Match) -> DataFrame:
+    """class_id, size and bitmap of each text's shingle set."""
+
+    def work(group: list[tuple]) -> dict:
+        sets = [shingle_set(text, match.shingle) for _, text in group]
+        return {"class_id": pa.array([i for i, _ in group], pa.int64()), "size": pa.array([len(x) for x in sets], pa.int64()), "bits": pa.array([bitmap(x, match).tobytes() for x in sets], pa.binary())}
+
+    return map_groups(texts, ["doc_id", "text"], work, "class_id long, size long, bits binary")
+
+
+def upper(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """At most so many shingles has a set in common with each of some others, by their bitmaps.
+
+    A bit that only one side has stands for a shingle, or more, that the other side lacks.
+    """
+    n = min(len(bits), others.shape[1])
+    bits, others = fold(bits[None], n)[0], fold(others, n)
+    own = size - np.bitwise_count(bits & ~others).sum(1, dtype=np.int64)
+    return np.minimum(own, sizes - np.bitwise_count(others & ~bits).sum(1, dtype=np.int64))
+
+
+def fold(bits: np.ndarray, n: int) -> np.ndarray:
+    """The bitmaps that the same sets have with ``n`` words."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, n), axis=1)
+
+
+def likely(left: pd.DataFrame, right: pd.DataFrame, match: Match) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of different components with enough collisions and a high enough upper bound."""
     lt, rt = np.stack(left.tokens.to_numpy()), np.stack(right.tokens.to_numpy())
-    le, re = (np.frombuffer(b"".join(x.extra), np.uint8).reshape(len(x), -1) for x in (left, right))
-    found = []
+    lc, rc = left.component.to_numpy(), right.component.to_numpy()
+    ls, rs = left["size"].to_numpy(), right["size"].to_numpy()
+    width = right.bits.map(len).to_numpy()
+    parts = []
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        parts.append((at, np.frombuffer(b"".join(right.bits.iloc[at]), U64).reshape(len(at), -1)))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for i in range(len(left)):
-        at = np.flatnonzero((rt == lt[i]).sum(1) >= match.agree)
-        at = at[(re[at] == le[i]).sum(1) >= match.extra_agree]
-        found.append((np.full(len(at), i), at))
+        good = (rc != lc[i]) & (100 * np.minimum(rs, ls[i]) >= match.percent * np.maximum(rs, ls[i]))
+        good[good] = (rt[good] == lt[i]).sum(1) >= match.agree
+        bits = np.frombuffer(left.bits.iloc[i], U64)
+        for at, others in parts:
+            some = good[at]
+            if some.any():
+                at = at[some]
+                common = upper(ls[i], bits, rs[at], others[some])
+                at = at[100 * common >= match.percent * (ls[i] + rs[at] - common)]
+                found.append((np.full(len(at), i), at))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -130,13 +171,12 @@ def star_pairs(posted: DataFrame, match: Match) -> DataFrame:
     flat = posted.select("class_id", F.explode("prefix").alias("token"))
     least = flat.groupBy("token").agg(F.min("class_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     pairs = flat.join(least, "token").where("class_id <> b").selectExpr("class_id a", "b").distinct()
-    side = posted.select("class_id", "tokens", "extra")
-    pairs = pairs.join(side.selectExpr("class_id a", "tokens ta", "extra ea"), "a").join(side.selectExpr("class_id b", "tokens tb", "extra eb"), "b")
+    pairs = pairs.join(posted.selectExpr("class_id a", "tokens ta"), "a").join(posted.selectExpr("class_id b", "tokens tb"), "b")
     hits = F.expr("aggregate(zip_with(ta, tb, (x, y) -> int(x = y)), 0, (s, x) -> s + x)")
     return pairs.where(hits >= match.agree).select("a", "b")
 
 
-def rest_pairs(posted: DataFrame, labels: DataFrame, match: Match) -> DataFrame:
+def rest_pairs(posted: DataFrame, bits: DataFrame, labels: DataFrame, match: Match) -> DataFrame:
     """Colliding pairs of different components, of each posting that holds several."""
     own = posted.join(labels.selectExpr("node class_id", "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     flat = own.select("class_id", "component", F.explode("prefix").alias("token"))
@@ -146,16 +186,14 @@ def rest_pairs(posted: DataFrame, labels: DataFrame, match: Match) -> DataFrame:
     flat = flat.join(mixed, "token").withColumn("h", F.xxhash64("class_id"))
     ask = flat.where("component <> main").selectExpr("token", "class_id", "1 asks", "int(pmod(h, asks)) q", "explode(sequence(0, chunks - 1)) c")
     told = flat.selectExpr("token", "class_id", "0 asks", "explode(sequence(0, asks - 1)) q", "int(pmod(h, chunks)) c")
-    meet = ask.union(told).join(own.select("class_id", "component", "tokens", "extra", "prefix"), "class_id")
+    meet = ask.union(told).join(own.select("class_id", "component", "tokens", "prefix").join(bits, "class_id"), "class_id")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.asks == 1], group[group.asks == 0]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         token = group.token.iloc[0]
-        i, j = agreeing(left, right, match)
-        apart = left.component.to_numpy()[i] != right.component.to_numpy()[j]
-        i, j = i[apart], j[apart]
+        i, j = likely(left, right, match)
         lp, rp = [set(x) for x in left.prefix], [set(x) for x in right.prefix]
         first = np.array([min(lp[x] & rp[y]) == token for x, y in zip(i, j, strict=True)], bool)
         a, b = left.class_id.to_numpy()[i[first]], right.class_id.to_numpy()[j[first]]
@@ -196,12 +234,13 @@ def near_duplicates(docs: DataFrame, match: Match | None = None) -> DataFrame:
     least = written(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     drawn_class = drawn.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
     classes = drawn.join(least.where("class_id is not null").selectExpr("digest", "class_id"), "digest").where("doc_id = class_id")
-    classes = classes.select("class_id", "tokens", "extra").dropDuplicates(["class_id", "tokens"])
+    classes = classes.select("class_id", "tokens").dropDuplicates()
     posted = written(postings(classes, match), "postings")
     texts = written(docs.join(posted.selectExpr("class_id doc_id").distinct(), "doc_id", "left_semi"), "texts")
     links = written(confirmed(star_pairs(posted, match), texts, match), "links")
     labels = components(links)
-    more = written(confirmed(rest_pairs(posted, labels, match), texts, match), "links")
+    bits = written(bitmaps(texts, match), "bitmaps")
+    more = written(confirmed(rest_pairs(posted, bits, labels, match), texts, match), "links")
     labels = components(links.union(more))
     found = drawn_class.join(labels.selectExpr("node class_id", "component"), "class_id", "left")
     found = found.withColumn("component_id", F.coalesce("component", "class_id", "doc_id"))
