@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, minhash, mixing, quality, tokenids
+from kindred.llm import decontaminate, minhash, mixing, quality, substrings, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,24 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.written_ids(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+t as (select doc_id, words, len(words) as n from w),
+p as (select doc_id, unnest(range(1, n - 11)) as i, words from t where n >= 13),
+g as (select doc_id, i, array_to_string(words[i:i+12], ' ') as win from p),
+m as (select win, min(doc_id) as first_id from g group by win),
+r as (select distinct g.doc_id, unnest(range(g.i, g.i + 13)) as i from g join m on g.win = m.win where m.first_id < g.doc_id),
+k as (select t.doc_id, t.n, u.i, t.words[u.i] as word from t, unnest(range(1, t.n + 1)) as u(i)),
+s as (select k.doc_id, count(r.i) as n_removed, coalesce(string_agg(k.word, ' ' order by k.i) filter (where r.i is null), '') as kept
+      from k left join r on k.doc_id = r.doc_id and k.i = r.i group by k.doc_id)
+select t.doc_id, cast(t.n as bigint) as n_words, cast(coalesce(s.n_removed, 0) as bigint) as n_removed, sha256(coalesce(s.kept, '')) as kept_sha256
+from t left join s on t.doc_id = s.doc_id
+"""

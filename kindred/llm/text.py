@@ -6,6 +6,7 @@ so UTF-8 text is split without being decoded.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -129,6 +130,8 @@ def written(df: DataFrame, purpose: str, partition_by: str | None = None) -> Dat
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 
