@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, minhash, mixing, quality, substrings, tokenids
+from kindred.llm import decontaminate, minhash, mixing, quality, substrings, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ s as (select k.doc_id, count(r.i) as n_removed, coalesce(string_agg(k.word, ' '
 select t.doc_id, cast(t.n as bigint) as n_words, cast(coalesce(s.n_removed, 0) as bigint) as n_removed, sha256(coalesce(s.kept, '')) as kept_sha256
 from t left join s on t.doc_id = s.doc_id
 """
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
