@@ -142,7 +142,7 @@ class Plan:
 
     def assembled(self) -> DataFrame:
         """What each output slot holds: shard, slot, s, epoch, block, start (of the document), word_from, n_words."""
-        return self.slots().join(self.blocks(), ["s", "block"])
+        return self.slots().hint("merge").join(self.blocks(), ["s", "block"])  # the planner takes the slots for as few as the draws
 
 
 def plan(docs: DataFrame, mix_: Mix | None = None, distinct: bool = False) -> Plan:
