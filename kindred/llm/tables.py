@@ -17,7 +17,7 @@ class HashTable:
     """Open addressing with linear probes over fixed keys (all below 2**64 - 1, distinct)."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.6 * len(keys)).bit_length())
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.zeros(1 << bits, values.dtype)
