@@ -1,8 +1,8 @@
 """Token-ID output: documents to ids, ids to Huffman-coded chunks, chunks back to ids.
 
 1. Texts are encoded by the tokenizers library and kept as packed ids in the shared folder.
-2. One pass counts all ids; the code lengths follow from the global counts on the driver, whose part is bounded by
-   the vocabulary.
+2. Each task counts its ids as it goes; the code lengths follow from the global sums on the driver, whose part is
+   bounded by the vocabulary.
 3. Documents are range-partitioned and sorted by doc_id; every partition writes its chunks (see huffman.py) as the
    rows of a Parquet file, so that any store that Spark writes to will do and a lost task is done again.
 
@@ -13,6 +13,7 @@ doc_id come first. Extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.huffman import Code, code_lengths, pack, unpack
-from kindred.llm.text import map_groups, rows, shared_dir, written
+from kindred.llm.text import groups, rows, shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Output:
     chunk_ids: int = 1 << 20
     shard_ids: int = 8 << 20
     #: Words whose ids a Python worker remembers, in each of two generations.
-    memo: int = 200_000
+    memo: int = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,8 +60,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(output.tokenizer)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([output.end_id], self.kind).tobytes()
+        self.size = max(self.tokenizer.get_vocab_size(), output.end_id + 1)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.end = self.packed([output.end_id])
         self.letters, self.limit = byte_letters(), output.memo
         self.model = self.tokenizer.model if output.by_words else None
         self.old: dict[bytes, bytes] = {}
@@ -80,13 +83,16 @@ class WordIds:
         self.memo = Memo()
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def encode(self, word: str) -> bytes:
         core = word.rstrip(".,")
         if core.isalpha() and max(core) <= "\xff":
-            found = self.packed([t.id for t in self.model.tokenize(core.lower().encode().decode("latin-1").translate(self.letters))])
-            return found + self.memo[word[len(core) :].encode()] if len(core) < len(word) else found
+            plain = core.lower()
+            if plain != word:
+                found = self.memo[plain.encode()]
+                return found + self.memo[word[len(core) :].encode()] if len(core) < len(word) else found
+            return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
         return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: bytes) -> bytes:
@@ -107,30 +113,40 @@ def encoder(output: Output) -> WordIds:
 
 
 def encoded(docs: DataFrame, output: Output) -> DataFrame:
-    """doc_id, packed ids and their number, in the shared folder."""
+    """doc_id and packed ids of every document; and how often each id occurs (ids null, counts), once for each task."""
 
-    def work(group: list[tuple]) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = encoder(output)
-        ids = [make(t or b"") for _, t in group]
-        return {"doc_id": pa.array([i for i, _ in group], pa.int64()), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // make.kind.itemsize for x in ids], pa.int64())}
+        total = np.zeros(make.size, np.int64)
+
+        def out(doc_ids: list, ids: list, counts: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc_ids, ids, counts), kinds, strict=True)], names=["doc_id", "ids", "counts"])
+
+        for batch in batches:
+            for group in groups(rows(batch, "doc_id", "text")):
+                ids = [make(t or b"") for _, t in group]
+                total += np.bincount(np.frombuffer(b"".join(ids), make.kind), minlength=make.size)
+                yield out([i for i, _ in group], ids, [None] * len(ids))
+        some = np.flatnonzero(total)
+        yield out([None], [None], [np.concatenate([some, total[some]]).tobytes()])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return written(map_groups(docs, ["doc_id", "text"], work, "doc_id long, ids binary, n long"), "ids")
+    return written(docs.mapInArrow(run, "doc_id long, ids binary, counts binary"), "ids")
 
 
-def id_counts(ids: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
-    """How often every id occurs; each task sends its sums once."""
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often every id occurs over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 1000).to_pylist()), kind), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": some, "n": total[some]})
+            for (packed,) in rows(batch, "counts"):
+                some, n = np.frombuffer(packed, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"id": some, "n": n})
 
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    each = ids.select("counts").where("counts is not null").mapInArrow(run, "id long, n long")
+    for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -140,9 +156,8 @@ def write_ids(docs: DataFrame, path: str, output: Output | None = None) -> None:
     output = output or Output()
     spark = docs.sparkSession
     make = WordIds(output)
-    size = max(make.tokenizer.get_vocab_size(), output.end_id + 1)
     ids = encoded(docs, output)
-    counts = id_counts(ids, make.kind, size)
+    counts = id_counts(ids, make.size)
     lengths = code_lengths(counts)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     shards = max(1, -(-int(counts.sum()) // output.shard_ids))
@@ -169,7 +184,7 @@ def write_ids(docs: DataFrame, path: str, output: Output | None = None) -> None:
         if held:
             yield close()
 
-    sorted_ = ids.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    sorted_ = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     sorted_.mapInArrow(run, "shard long, number long, n_ids long, chunk binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
 
