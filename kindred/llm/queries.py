@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import ctw, decontaminate, language, minhash, mixing, quality, substrings, tokencount, tokenids
+from kindred.llm import ctw, decontaminate, language, minhash, mixing, quality, substrings, tokencount, tokenids, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
