@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.fmindex import FMIndex
-from kindred.llm.text import U64, groups, map_groups, mix, rows, windows, word_hashes, written
+from kindred.llm.text import U64, groups, map_groups, mix, removed, rows, windows, word_hashes, written
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -105,7 +105,7 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, spec: Repeats, buckets: int) -> DataFrame:
-    """Rows to buckets (bucket, anchor, key, doc_id, start, live) and known live starts (bucket null, key1, start)."""
+    """Rows to buckets (bucket, anchor, key, doc_id, start, live) and known live starts (own, key, start)."""
 
     def work(group: list[tuple]) -> dict:
         hashes, doc, first, ids = read_group(group, spec)
@@ -121,23 +121,23 @@ def anchors(docs: DataFrame, spec: Repeats, buckets: int) -> DataFrame:
         at = (start - first[owner]).astype(np.uint32)
         send = ~all_live
         send[new] = True
-        out = {k: [] for k in ("bucket", "anchor", "key", "doc_id", "start", "live", "key1")}
+        out = {k: [] for k in ("bucket", "anchor", "key", "doc_id", "start", "live", "own")}
         parts = {"anchor": (anchor >> U64(32)).astype(np.uint32), "key": keys[owner], "doc_id": ids[owner], "start": at, "live": all_live.astype(np.uint8)}
         for bucket, cols in blobs({k: v[send] for k, v in parts.items()}, (anchor[send] % U64(buckets)).astype(np.int64)):
-            for k, v in (cols | {"bucket": bucket, "key1": None}).items():
+            for k, v in (cols | {"bucket": bucket, "own": None}).items():
                 out[k].append(v)
-        for key, starts in by_key(keys[owner[all_live]], at[all_live]):
-            for k, v in {"bucket": None, "anchor": None, "key": None, "doc_id": None, "start": starts, "live": None, "key1": key}.items():
+        for own, cols in blobs({"key": keys[owner[all_live]], "start": at[all_live]}, keys[owner[all_live]] % buckets):
+            for k, v in (dict.fromkeys(("bucket", "anchor", "doc_id", "live")) | cols | {"own": own}).items():
                 out[k].append(v)
-        kinds = {"bucket": pa.int64(), "key1": pa.int64()}
+        kinds = {"bucket": pa.int64(), "own": pa.int64()}
         return {k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()}
 
-    schema = "bucket long, anchor binary, key binary, doc_id binary, start binary, live binary, key1 long"
+    schema = "bucket long, anchor binary, key binary, doc_id binary, start binary, live binary, own long"
     return map_groups(docs, ["key", "text", "doc_id"], work, schema, spec.group_bytes)
 
 
-def live_starts(sent: DataFrame) -> DataFrame:
-    """key, start of segments whose anchor several documents have."""
+def live_starts(sent: DataFrame, buckets: int) -> DataFrame:
+    """key, starts: for each document, the segments whose anchor another document has as well."""
 
     def meet(table: pa.Table) -> pa.Table:
         anchor, key, doc_id, start, live = (joined(table[c], k) for c, k in (("anchor", np.uint32), ("key", np.int64), ("doc_id", np.int64), ("start", np.uint32), ("live", np.uint8)))
@@ -147,11 +147,16 @@ def live_starts(sent: DataFrame) -> DataFrame:
         size = np.diff(np.append(new, len(anchor)))
         good = (doc_id[new] != doc_id[new + size - 1]) | np.maximum.reduceat(live, new).astype(bool)
         some = order[np.repeat(good, size) & (live == 0)]
-        found = list(by_key(key[some], start[some]))
-        return pa.table({"key": pa.array([k for k, _ in found], pa.int64()), "start": pa.array([s for _, s in found], pa.binary())})
+        found = list(blobs({"key": key[some], "start": start[some]}, key[some] % buckets))
+        return pa.table({"own": pa.array([k for k, _ in found], pa.int64())} | {c: pa.array([v[c] for _, v in found], pa.binary()) for c in ("key", "start")})
+
+    def part(table: pa.Table) -> pa.Table:
+        found = list(by_key(joined(table["key"], np.int64), joined(table["start"], np.uint32)))
+        return pa.table({"key": pa.array([k for k, _ in found], pa.int64()), "starts": pa.array([s for _, s in found], pa.binary())})
 
     asked = sent.where("bucket is not null").select("bucket", "anchor", "key", "doc_id", "start", "live")
-    return asked.groupBy("bucket").applyInArrow(meet, "key long, start binary").union(sent.where("bucket is null").select("key1", "start"))
+    found = asked.groupBy("bucket").applyInArrow(meet, "own long, key binary, start binary").union(sent.where("bucket is null").select("own", "key", "start"))
+    return found.groupBy("own").applyInArrow(part, "key long, starts binary")
 
 
 def segments(docs: DataFrame, spec: Repeats, shards: int) -> DataFrame:
@@ -161,7 +166,7 @@ def segments(docs: DataFrame, spec: Repeats, shards: int) -> DataFrame:
         hashes, doc, first, ids = read_group(group, spec)
         start, count, anchor = runs(hashes, doc, spec)
         owner = doc[start] if len(start) else np.empty(0, np.int64)
-        wanted = [np.unique(np.frombuffer(b"".join(g[3]), np.uint32)) for g in group]
+        wanted = [np.unique(np.frombuffer(g[3], np.uint32)) for g in group]
         code = np.concatenate([w.astype(np.int64) + (d << 32) for d, w in enumerate(wanted)])
         good = np.isin((start - first[owner]) + (owner << 32), code)
         start, count, anchor, owner = start[good], count[good], anchor[good], owner[good]
@@ -268,8 +273,9 @@ def marked(docs: DataFrame, spec: Repeats | None = None) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / spec.bucket_bytes))
-    starts = written(live_starts(written(anchors(docs, spec, buckets), "anchors")), "starts")
-    starts = starts.groupBy("key").agg(F.collect_list("start").alias("starts"))
+    asked = written(anchors(docs, spec, buckets), "anchors")
+    starts = written(live_starts(asked, buckets), "starts")
+    removed(asked)
     sent = written(segments(docs.join(starts, "key"), spec, buckets), "segments")
     found = written(answers(sent, spec), "answers")
     gone = written(removed_windows(sent, found), "windows").groupBy("key").agg(F.collect_list("start").alias("gone"))

@@ -135,6 +135,14 @@ def written(df: DataFrame, purpose: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned, once what was made of it is written as well."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def binomial_tail(n: int, p: float, below: int) -> float:
     """P[X < below] for X ~ Bin(n, p)."""
     return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(below))
