@@ -1,12 +1,14 @@
-"""Makes the package importable in Python workers that don't see the driver's files."""
+"""What the driver and the executors share: the package itself and a folder."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +26,29 @@ def ship(spark: SparkSession) -> None:
                     z.write(p, p.relative_to(top.parent))
     context.addPyFile(f.name)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the folder that the driver and all executors share.
+
+    That is ``spark.checkpoint.dir``, or a checkpoint folder set on the context; only where neither is set, as in
+    tests, a temporary folder is set, which a session on one machine can use.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="kindred-")
+        if not held.isDefined():
+            context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a DataFrame as Parquet in the shared folder and read it again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to any more
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.plans import etl_queries, scalar_queries  # noqa: F401
+from kindred.plans import etl_queries, graph_queries, scalar_queries  # noqa: F401
 from kindred.plans.registry import ORACLES, QUERIES, Builder
 
 
