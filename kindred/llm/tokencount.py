@@ -111,7 +111,7 @@ class Counting:
     limit: int = 512
     chunk_bytes: int = 1 << 16
     #: Transitions that a Python worker keeps, in each of two generations.
-    memo: int = 200_000
+    memo: int = 500_000
 
 
 class Transducer:
