@@ -12,6 +12,10 @@ from kindred.llm import decontaminate, minhash, mixing, quality, tokenids
 from kindred.llm.text import written
 
 
+#: Fewer words remembered than alone: executors still hold what the stages before have taken.
+OUTPUT = tokenids.Output(memo=100_000)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the compression bands go."""
     return quality.keep_good(docs)
@@ -34,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 as read back from the written ids."""
-    return tokenids.written_ids(docs)
+    return tokenids.written_ids(docs, OUTPUT)
 
 
 STAGES = [

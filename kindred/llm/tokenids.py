@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.huffman import Code, code_lengths, pack, unpack
-from kindred.llm.text import groups, rows, shared_dir, written
+from kindred.llm.text import groups, lower_ascii, rows, shared_dir, written
 
 
 @dataclass(frozen=True)
 class Output:
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
-    #: The tokenizer drops white space, so that words can be encoded apart from each other.
+    #: The tokenizer drops white space and case, so that words can be encoded apart from each other, and lowered.
     by_words: bool = True
     end_id: int = 1
     block_ids: int = 512
@@ -66,6 +66,7 @@ class WordIds:
         self.end = self.packed([output.end_id])
         self.letters, self.limit = byte_letters(), output.memo
         self.model = self.tokenizer.model if output.by_words else None
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.old: dict[bytes, bytes] = {}
         owner = self
 
@@ -98,7 +99,10 @@ class WordIds:
     def __call__(self, text: bytes) -> bytes:
         if self.model is None:
             return self.packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids) + self.end
-        return b"".join(map(self.memo.__getitem__, text.split())) + self.end
+        plain = lower_ascii(text)
+        if any(s in plain for s in self.special):  # special strings are told by case
+            plain = text
+        return b"".join(map(self.memo.__getitem__, plain.split())) + self.end
 
 
 _encoders: dict[Output, WordIds] = {}
@@ -164,6 +168,7 @@ def write_ids(docs: DataFrame, path: str, output: Output | None = None) -> None:
     kind = make.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()
         code, shard = Code(lengths), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         before = total = number = 0
@@ -198,6 +203,7 @@ def read_chunks(spark: SparkSession, path: str, each: Callable[[list, np.ndarray
         before += r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()
         code = Code(lengths)
         for batch in batches:
             for shard, chunk in rows(batch, "shard", "chunk"):
