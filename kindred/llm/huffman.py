@@ -75,8 +75,9 @@ class Code:
         """The code of ``ids`` and the first bit of each block."""
         if not len(ids):
             return b"", np.empty(0, np.uint64)
-        size = self.lengths[ids].astype(np.int64)
-        end = np.cumsum(size)
+        kind = np.int32 if len(ids) * LIMIT < 1 << 31 else np.int64
+        size = self.lengths[ids].astype(kind)
+        end = np.cumsum(size, dtype=kind)
         at = end - size
         word, bit = at >> 5, at & 31
         placed = self.codes[ids].astype(np.uint64) << (64 - bit - size).astype(np.uint64)

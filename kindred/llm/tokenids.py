@@ -39,7 +39,7 @@ class Output:
     chunk_ids: int = 1 << 20
     shard_ids: int = 8 << 20
     #: Words whose ids a Python worker remembers, in each of two generations.
-    memo: int = 500_000
+    memo: int = 800_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,6 +49,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+#: Slots that tell whether a word was seen before, less one; two words in one slot are both kept at once.
+SEEN = (1 << 22) - 1
+
+
 class WordIds:
     """Packed ids of a text, word by word, by a tokenizer that drops white space.
 
@@ -68,15 +72,23 @@ class WordIds:
         self.model = self.tokenizer.model if output.by_words else None
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.old: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN + 1)
         owner = self
 
         class Memo(dict):
+            """Keeps a word's ids from the second time on, as most distinct words occur once."""
+
             def __missing__(self, word: bytes) -> bytes:
                 found = owner.old.get(word)
                 if found is None:
-                    found = owner.encode(word.decode("utf-8", "replace"))
+                    found = owner.found(word)
+                    at = hash(word) & SEEN
+                    if not owner.seen[at]:
+                        owner.seen[at] = 1
+                        return found
                 if len(self) >= owner.limit:
                     owner.old = dict(self)
+                    owner.seen = bytearray(SEEN + 1)
                     self.clear()
                 self[word] = found
                 return found
@@ -86,6 +98,14 @@ class WordIds:
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def found(self, word: bytes) -> bytes:
+        """The ids of a word that is not remembered; the plainest words take the shortest way."""
+        if word.isalpha() and word.islower():
+            return array(self.code, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        if word[-1] in b".," and word[:-1].isalpha():
+            return self.memo[word[:-1]] + self.memo[word[-1:]]
+        return self.encode(word.decode("utf-8", "replace"))
+
     def encode(self, word: str) -> bytes:
         core = word.rstrip(".,")
         if core.isalpha() and max(core) <= "\xff":
