@@ -571,3 +571,22 @@ def coding_table(spark, sf_dir):
     by_last = tokens.select("id", "identity", "tokens", F.explode("tokens").alias("last"))
     hits = t.join(by_last, "last").where(F.array_contains("tokens", F.col("first")))
     return hits.select("last", "first", "id", "identity", F.when(F.col("identity").startswith("A"), 1).otherwise(3).alias("section"))
+
+
+@query("persons", f"{WITH} select identity, count(*) as n_records, min(TRANSACTION_DT) as first_day, max(TRANSACTION_DT) as last_day, string_agg(distinct EMPLOYER, '|' order by EMPLOYER) as employers from members group by identity")
+def persons(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return m.groupBy("identity").agg(
+        F.count("*").alias("n_records"), F.min("TRANSACTION_DT").alias("first_day"), F.max("TRANSACTION_DT").alias("last_day"),
+        F.array_join(F.array_sort(F.collect_set("EMPLOYER")), "|").alias("employers"),
+    )
+
+
+@query("merge_persons")
+def merge_persons(spark, sf_dir):
+    """Persons by last name and state whose records agree often enough become one; tested in tests/test_functions.py."""
+    m = members(spark, sf_dir).select("id", F.concat("STATE", "last_name").alias("component"))
+    found = C.compared(looked_up(spark, sf_dir)).select("a", "b", "verdict")
+    a, b = m.selectExpr("id a", "component p"), m.selectExpr("id b", "component q")
+    pairs = G.symmetric(found).join(a, "a").join(b, "b").where("p < q").select("p", "q").distinct()
+    return I.merged(m, pairs, found, 0.0)

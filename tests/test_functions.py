@@ -93,3 +93,18 @@ def test_stream_assigns_identities_once(spark, tmp_path):
     got = {r.id: r.identity for r in spark.read.parquet(str(tmp_path / "out" / "assigned")).collect()}
     assert got == {1: "N-1", 3: "N-1", 2: "N-2", 4: "N-1", 5: "N-5", 6: "N-5"}
     assert incremental.read_store(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_merged_persons(spark):
+    members = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "r")], "id long, component string")
+    verdicts = spark.createDataFrame([(1, 3, 1), (2, 3, 1), (1, 4, 1)], "a long, b long, verdict int")
+    pairs = spark.createDataFrame([("p", "q"), ("p", "r")], "p string, q string")
+    assert {(r.p, r.q): r.compatibility for r in identity.compatibility(pairs, verdicts, members).collect()} == {("p", "q"): 1.0, ("p", "r"): 0.5}
+    assert {r.id: r.component for r in identity.merged(members, pairs, verdicts).collect()} == {1: "p", 2: "p", 3: "p", 4: "r"}
+
+
+def test_split_on_middle_names(spark):
+    members = spark.createDataFrame([(1, 1, "A"), (2, 1, "BEN"), (3, 1, ""), (4, 1, ""), (5, 5, "C"), (6, 5, "")], "id long, component long, middle_name string")
+    verdicts = spark.createDataFrame([(2, 3, 1), (1, 2, -1000)], "a long, b long, verdict int")
+    got = {r.id: r.spawn for r in identity.split_on_middle(members, verdicts).collect()}
+    assert got == {1: "A", 2: "B", 3: "B", 4: "A", 5: "", 6: ""}
