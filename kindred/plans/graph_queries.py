@@ -242,13 +242,15 @@ def strength(spark, sf_dir):
     return A.strength(event_edges(spark, sf_dir))
 
 
-def sig_sql(p, q):
-    return f"round(-ln(list_sum(list_transform(range(cast(weight as bigint), cast({q} as bigint)+1), lambda i: exp(lgamma({q}+1)-lgamma(i+1)-lgamma({q}-i+1)+i*ln({p})+({q}-i)*ln(1-({p})))))), 4)"
+def sig_sql(source):
+    """CTEs from ``source`` (a, b, weight, q, p) to ``sig``: the tail is summed in logarithms."""
+    return f"""term as (select *, list_transform(range(cast(weight as bigint), cast(q as bigint)+1), lambda i: lgamma(q+1)-lgamma(i+1)-lgamma(q-i+1)+i*ln(p)+(q-i)*ln(1-p)) as ts from {source}),
+top as (select *, list_max(ts) as mx from term), sig as (select a, b, weight, round(-(mx + ln(list_sum(list_transform(ts, lambda t: exp(t-mx))))), 4) as significance from top)"""
 
 
 MLF = f"""tot as (select sum(k)/2.0 as q from strength),
 ep as (select e.a, e.b, e.weight, t.q, cast(x.k as double)*y.k/t.q/t.q/2 as p from edges e join strength x on e.a=x.node join strength y on e.b=y.node, tot t),
-sig as (select a, b, weight, {sig_sql('p', 'q')} as significance from ep)"""
+{sig_sql('ep')}"""
 
 
 @query("significance", f"with {EVENT_MOVES}, {EDGES}, {STRENGTH}, {MLF} select * from sig")
@@ -266,7 +268,7 @@ def mlf_pvalue(spark, sf_dir):
 
 
 @query("mlf_directed", f"""with {EVENT_MOVES}, e as (select a, b, count(*) as weight from moves where b is not null group by a, b), ku as (select a, sum(weight) as k from e group by a), kv as (select b, sum(weight) as k from e group by b),
-tot as (select sum(weight) as q from e), ep as (select e.*, cast(t.q as double) as q, cast(ku.k as double)*kv.k/t.q/t.q as p from e join ku on e.a=ku.a join kv on e.b=kv.b, tot t) select a, b, weight, {sig_sql('p', 'q')} as significance from ep""")
+tot as (select sum(weight) as q from e), ep as (select e.*, cast(t.q as double) as q, cast(ku.k as double)*kv.k/t.q/t.q as p from e join ku on e.a=ku.a join kv on e.b=kv.b, tot t), {sig_sql('ep')} select a, b, weight, significance from sig""")
 def mlf_directed(spark, sf_dir):
     edges = A.directed_edges(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id")
     return A.directed_significance(edges).select("a", "b", "weight", F.round("significance", 4).alias("significance"))
