@@ -94,3 +94,30 @@ def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+')"
+
+#: Items of fewer than five words, of which the tables have none, would be looked for as whole sequences.
+ORACLES["op4_benchmark_decontamination"] = f"""
+with dw as (select doc_id, {WORDS} as ws from documents), iw as (select item_id, {WORDS} as ws from benchmark),
+d as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from dw where len(ws) >= 5) x),
+i as (select distinct item_id, array_to_string(ws[i:i+4], ' ') as s from (select item_id, ws, unnest(range(1, len(ws) - 3)) as i from iw where len(ws) >= 5) x),
+t as (select item_id, count(*) as n from i group by item_id)
+select d.doc_id, i.item_id, t.n as n_item_shingles, count(*) as n_found, count(*) / cast(t.n as double) as containment
+from d join i on d.s = i.s join t on t.item_id = i.item_id group by d.doc_id, i.item_id, t.n having 100 * count(*) >= 80 * t.n
+"""
+
+ORACLES["op7_minhash_near_dedup"] = f"""
+with recursive w as (select doc_id, {WORDS} as ws from documents), k as (select doc_id, ws, least(5, len(ws)) as n from w),
+sh as (select distinct doc_id, array_to_string(ws[i:i+n-1], ' ') as s from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from k where n > 0) x),
+c as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as m from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select p.a, p.b from p join c x on x.doc_id = p.a join c y on y.doc_id = p.b where 100 * p.m >= 85 * (x.n + y.n - p.m)),
+e as (select a, b from l union all select b, a from l),
+r(node, seen) as (select a, a from e union select r.node, e.b from r join e on r.seen = e.a),
+h as (select node, min(seen) as head from r group by node)
+select w.doc_id, cast(coalesce(c.n, 0) as bigint) as n_shingles, coalesce(h.head, w.doc_id) as component_id, coalesce(h.head, w.doc_id) = w.doc_id as kept
+from w left join c on c.doc_id = w.doc_id left join h on h.node = w.doc_id
+"""
