@@ -37,9 +37,9 @@ def shared_path(spark, name):
     return f"{base.rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
 
 
-@query("retrieve", f"with {CONTRIB} select upper(NAME) as NAME, upper(CITY) as CITY, upper(EMPLOYER) as EMPLOYER, id from contrib where STATE < 'E' order by NAME, TRANSACTION_DT, id limit 200 offset 50")
+@query("retrieve", f"with {CONTRIB} select upper(NAME) as NAME, upper(CITY) as CITY, upper(EMPLOYER) as EMPLOYER, id from contrib where STATE < 'NATION_2' order by NAME, TRANSACTION_DT, id limit 200 offset 50")
 def retrieve(spark, sf_dir):
-    return files.retrieved(contrib(spark, sf_dir), ["NAME", "CITY", "EMPLOYER", "id"], where="STATE < 'E'", order="NAME, TRANSACTION_DT, id", limit=(50, 200))
+    return files.retrieved(contrib(spark, sf_dir), ["NAME", "CITY", "EMPLOYER", "id"], where="STATE < 'NATION_2'", order="NAME, TRANSACTION_DT, id", limit=(50, 200))
 
 
 @query("retrieve_by_id", f"with {CONTRIB} select id, NAME, STATE from contrib where id in (select o_orderkey from orders where o_orderstatus='F')")
@@ -67,9 +67,9 @@ def get_identities(spark, sf_dir):
     return files.by_ids(contrib(spark, sf_dir).selectExpr("id", "concat(STATE, '-', id % 17) identity"), ids)
 
 
-@query("state_slice", f"with {CONTRIB} select id, NAME from contrib where STATE='FRANCE'")
+@query("state_slice", f"with {CONTRIB} select id, NAME from contrib where STATE='NATION_7'")
 def state_slice(spark, sf_dir):
-    return contrib(spark, sf_dir).where("STATE = 'FRANCE'").select("id", "NAME")
+    return contrib(spark, sf_dir).where("STATE = 'NATION_7'").select("id", "NAME")
 
 
 @query("nonempty_key", f"with {CONTRIB} select id, TRAN_ID, CMTE_ID from contrib where TRAN_ID<>'' and CMTE_ID<>''")
@@ -87,9 +87,9 @@ def where_expression(spark, sf_dir):
     return files.retrieved(contrib(spark, sf_dir), ["id"], where="TRANSACTION_AMT > 1000 and EMPLOYER = 'GLOBEX'")
 
 
-@query("identity_state", f"with {CONTRIB}, i as (select id, concat(STATE, '-', cast(id % 17 as varchar)) as identity from contrib) select id, identity from i where identity like 'CHINA-%'")
+@query("identity_state", f"with {CONTRIB}, i as (select id, concat(STATE, '-', cast(id % 17 as varchar)) as identity from contrib) select id, identity from i where identity like 'NATION_5-%'")
 def identity_state(spark, sf_dir):
-    return contrib(spark, sf_dir).selectExpr("id", "concat(STATE, '-', id % 17) identity").where(F.col("identity").startswith("CHINA-"))
+    return contrib(spark, sf_dir).selectExpr("id", "concat(STATE, '-', id % 17) identity").where(F.col("identity").startswith("NATION_5-"))
 
 
 @query("size_guard", f"with {CONTRIB}, n as (select id, NAME, count(*) over (partition by NAME) as hits from contrib) select id, NAME, hits from n where hits <= 30")
@@ -124,9 +124,9 @@ def identifiables_strict(spark, sf_dir):
     return etl.identifiable_keys(addresses(spark, sf_dir), strict=True)
 
 
-@query("important_dups", f"with {CONTRIB}, g as (select TRAN_ID, CMTE_ID, NAME, CITY, ZIP_CODE, count(*) as c from contrib where TRAN_ID<>'' and CMTE_ID<>'' group by all having count(*)>1) select TRAN_ID, CMTE_ID, count(*) as groups, cast(sum(c) as bigint) as n_rows from g group by TRAN_ID, CMTE_ID having count(*)=1")
+@query("important_dups", f"{CA}, g as (select TRAN_ID, CMTE_ID, CONTRIBUTOR_STREET_1, CONTRIBUTOR_CITY, count(*) as c from addresses where TRAN_ID<>'' and CMTE_ID<>'' group by all having count(*)>1) select TRAN_ID, CMTE_ID, count(*) as groups, cast(sum(c) as bigint) as n_rows from g group by TRAN_ID, CMTE_ID having count(*)=1")
 def important_dups(spark, sf_dir):
-    return etl.important_duplicates(contrib(spark, sf_dir), ["NAME", "CITY", "ZIP_CODE"])
+    return etl.important_duplicates(addresses(spark, sf_dir), ["CONTRIBUTOR_STREET_1", "CONTRIBUTOR_CITY"])
 
 
 @query("addr_truncate", f"{CA} select id, CONTRIBUTOR_STREET_1 from addresses a where exists (select 1 from contrib c where c.ENTITY_TP='IND' and c.TRAN_ID=a.TRAN_ID and c.CMTE_ID=a.CMTE_ID)")
@@ -154,10 +154,10 @@ def state_addresses(spark, sf_dir):
     return etl.state_addresses(contrib(spark, sf_dir).drop("CONTRIBUTOR_STREET_1"), addresses(spark, sf_dir)).selectExpr("id", "STATE", "CONTRIBUTOR_STREET_1 street")
 
 
-@query("state_combined", f"{CHAIN}, {FIRST}, {ALONE}, s as (select TRAN_ID, CMTE_ID, f.CONTRIBUTOR_STREET_1 as street, f.CONTRIBUTOR_CITY as city from alone a join first_rows f using (TRAN_ID, CMTE_ID)) select c.id, c.NAME, s.street, s.city from contrib c left join s on c.TRAN_ID=s.TRAN_ID and c.CMTE_ID=s.CMTE_ID where c.STATE='INDIA' order by c.NAME, c.TRANSACTION_DT, c.ZIP_CODE")
+@query("state_combined", f"{CHAIN}, {FIRST}, {ALONE}, s as (select TRAN_ID, CMTE_ID, f.CONTRIBUTOR_STREET_1 as street, f.CONTRIBUTOR_CITY as city from alone a join first_rows f using (TRAN_ID, CMTE_ID)) select c.id, c.NAME, s.street, s.city from contrib c left join s on c.TRAN_ID=s.TRAN_ID and c.CMTE_ID=s.CMTE_ID where c.STATE='NATION_3' order by c.NAME, c.TRANSACTION_DT, c.ZIP_CODE")
 def state_combined(spark, sf_dir):
     c = contrib(spark, sf_dir).drop("CONTRIBUTOR_STREET_1")
-    found = etl.combined(c, addresses(spark, sf_dir)).where("STATE = 'INDIA'").orderBy("NAME", "TRANSACTION_DT", "ZIP_CODE")
+    found = etl.combined(c, addresses(spark, sf_dir)).where("STATE = 'NATION_3'").orderBy("NAME", "TRANSACTION_DT", "ZIP_CODE")
     return found.selectExpr("id", "NAME", "CONTRIBUTOR_STREET_1 street", "CONTRIBUTOR_CITY city")
 
 

@@ -353,15 +353,15 @@ def full_adjacency(spark, sf_dir):
 
 # --- linked identities: pairs of customers' names across nations, with synthetic codes
 
-ADJ = """cu as (select c_custkey as k, c_nationkey as s, c_name as nm from customer), adj0 as (select concat('P',x.k % 200) as i1, concat('P',(x.k*7+3) % 200) as i2,
- case when x.k % 11=0 then -1 when x.k % 3=0 then 4 when x.k % 3=1 then 1 else 0 end as verdict from cu x),
+ADJ = """cu as (select c_custkey as k, c_nationkey as s, c_name as nm from customer), adj0 as (select concat('P',x.k % 60) as i1, concat('P',(x.k*7+x.k//60) % 60) as i2,
+ case when x.k % 5=0 then -1 when x.k % 9=1 then 4 when x.k % 9=2 then 1 else 0 end as verdict from cu x),
 adj as (select least(i1,i2) as identity1, greatest(i1,i2) as identity2, max(verdict) as verdict from adj0 where i1<>i2 group by 1, 2)"""
 
 
 def adjacency_(spark, sf_dir):
-    """A table of verdicts on 200 identities, derived from the customers' numbers."""
+    """A table of verdicts on 60 identities, derived from the customers' numbers."""
     c = table(spark, sf_dir, "customer")
-    raw = c.selectExpr("concat('P', c_custkey % 200) identity1", "concat('P', (c_custkey * 7 + 3) % 200) identity2", "case when c_custkey % 11 = 0 then -1 when c_custkey % 3 = 0 then 4 when c_custkey % 3 = 1 then 1 else 0 end verdict")
+    raw = c.selectExpr("concat('P', c_custkey % 60) identity1", "concat('P', (c_custkey * 7 + c_custkey div 60) % 60) identity2", "case when c_custkey % 5 = 0 then -1 when c_custkey % 9 = 1 then 4 when c_custkey % 9 = 2 then 1 else 0 end verdict")
     return I.adjacency(raw.where("identity1 <> identity2"))
 
 
@@ -425,7 +425,7 @@ def similar_not_linked(spark, sf_dir):
 # --- stage 2
 
 CROSS = f"""{WITH}, {NAME_TOK}, {VARIANTS}, {KNOWN}, {DOM}, {PERSON_TOK}, ident2 as (select distinct concat(STATE,'|',last_name,'|',first_name) as identity, last_name, middle_name, first_name, EMPLOYER, OCCUPATION, STATE from members where id % 3=0),
-idl as (select distinct identity, split_part(identity,'|',2) as ln, STATE from ident2), idpairs as (select x.identity as identity1, y.identity as identity2 from idl x join idl y on x.STATE<y.STATE and x.ln=y.ln and substr(x.STATE,1,1) in ('A','B') and substr(y.STATE,1,1)='C'),
+idl as (select distinct identity, split_part(identity,'|',2) as ln, STATE from ident2), idpairs as (select x.identity as identity1, y.identity as identity2 from idl x join idl y on x.STATE<y.STATE and x.ln=y.ln and x.STATE in ('NATION_1','NATION_2') and y.STATE='NATION_3'),
 pr as (select identity1, identity2, x.last_name as last1, y.last_name as last2, x.middle_name as middle1, y.middle_name as middle2, x.first_name as first1, y.first_name as first2, x.EMPLOYER as employer1, y.EMPLOYER as employer2, x.OCCUPATION as occupation1, y.OCCUPATION as occupation2
  from idpairs join ident2 x on x.identity=identity1 join ident2 y on y.identity=identity2), {LOOK},
 cd as (select *, {names_sql()} as n, {EMP_SQL} as e, {OCC_SQL} as o, case when middle1<>'' then middle1 else middle2 end as mid from lk),
@@ -440,8 +440,8 @@ def stage2_codes(spark, sf_dir):
     m = written(members(spark, sf_dir), "members")
     ident = m.where("id % 3 = 0").withColumn("identity", F.concat_ws("|", "STATE", "last_name", "first_name"))
     heads = ident.select("identity", "last_name", "STATE").distinct()
-    x = heads.where("substr(STATE, 1, 1) in ('A', 'B')").selectExpr("identity identity1", "last_name", "STATE s1")
-    y = heads.where("substr(STATE, 1, 1) = 'C'").selectExpr("identity identity2", "last_name", "STATE s2")
+    x = heads.where("STATE in ('NATION_1', 'NATION_2')").selectExpr("identity identity1", "last_name", "STATE s1")
+    y = heads.where("STATE = 'NATION_3'").selectExpr("identity identity2", "last_name", "STATE s2")
     pairs = x.join(y, "last_name").where("s1 < s2").select("identity1", "identity2")
     names = {"last_name": "last", "middle_name": "middle", "first_name": "first", "EMPLOYER": "employer", "OCCUPATION": "occupation"}
     records = ident.select("identity", *[F.col(k).alias(v) for k, v in names.items()])
@@ -563,14 +563,14 @@ def voter_freq(spark, sf_dir):
     return v.join(f, ["last", "first"], "left").select("personid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("coding_table", f"{WITH}, {VOTERS}, t as (select distinct last, first from voters where personid % 50=0), hits as (select t.last, t.first, m.id, m.identity from t join members m on list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.last) and list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.first)) select last, first, id, identity, case when identity like 'A%' then 1 else 3 end as section from hits")
+@query("coding_table", f"{WITH}, {VOTERS}, t as (select distinct last, first from voters where personid % 50=0), hits as (select t.last, t.first, m.id, m.identity from t join members m on list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.last) and list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.first)) select last, first, id, identity, case when identity like 'NATION_1|%' then 1 else 3 end as section from hits")
 def coding_table(spark, sf_dir):
     """For hand coding: per target the records of linked (1) and of similar, unlinked (3) identities."""
     t = voters(spark, sf_dir).where("personid % 50 = 0").select("last", "first").distinct()
     tokens = members(spark, sf_dir).select("id", "identity", F.array_distinct(F.split(F.upper("NAME"), r"[^A-Z0-9']+")).alias("tokens"))
     by_last = tokens.select("id", "identity", "tokens", F.explode("tokens").alias("last"))
     hits = t.join(by_last, "last").where(F.array_contains("tokens", F.col("first")))
-    return hits.select("last", "first", "id", "identity", F.when(F.col("identity").startswith("A"), 1).otherwise(3).alias("section"))
+    return hits.select("last", "first", "id", "identity", F.when(F.col("identity").startswith("NATION_1|"), 1).otherwise(3).alias("section"))
 
 
 @query("persons", f"{WITH} select identity, count(*) as n_records, min(TRANSACTION_DT) as first_day, max(TRANSACTION_DT) as last_day, string_agg(distinct EMPLOYER, '|' order by EMPLOYER) as employers from members group by identity")
