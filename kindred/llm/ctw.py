@@ -42,7 +42,7 @@ class Tree:
     #: Rows whose crc32(doc_id) mod ``folds`` is ``held_out`` are not learned from.
     folds: int = 7
     held_out: int = 2
-    buckets: int = 64
+    buckets: int = 256
     #: Runs, or words, of one slice of a table.
     slice_rows: int = 5_000_000
     #: Distinct runs that a task gathers before it sends them.
