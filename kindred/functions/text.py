@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is taken out of a name before it is parsed.
@@ -67,6 +67,28 @@ def split_name(name: Column) -> Column:
     return F.when(comma > 1, F.struct(F.substring_index(clean, ",", 1).alias("last"), middle.alias("middle"), first.alias("first"))).otherwise(plain)
 
 
+def with_names(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with last_name, middle_name and first_name, by the rules of ``split_name``.
+
+    The parts that several results need are columns of projections of their own, so each is made once a row.
+    """
+    clean = F.regexp_replace(without_name_junk(F.coalesce(name, F.lit(""))), "[.0-9]", " ")
+    df = df.withColumn("_clean", clean).withColumn("_comma", F.instr("_clean", ","))
+    right = F.split(strip(F.translate(F.expr("substring(_clean, _comma + 1)"), ",", " ")), " ")
+    df = df.withColumn("_right", F.when(F.col("_comma") > 1, right).otherwise(F.split("_clean", " ")))
+    df = df.withColumn("_sizes", F.transform("_right", F.length)).withColumns({"_ones": F.expr("size(filter(_sizes, n -> n = 1))"), "_at": F.array_position("_sizes", 1).cast("int"), "_n": F.size("_right")})
+    middle = """case when _comma <= 1 or _n = 1 then '' when _ones = 0 then array_join(slice(_right, 2, _n), ' ') else _right[_at - 1] end"""
+    first = """case when _comma <= 1 then array_join(slice(_right, 2, _n), ' ')
+        when _n = 1 or _ones = 0 then _right[0]
+        when _ones = 1 then concat_ws(' ', nullif(array_join(slice(_right, 1, greatest(_at - 1, 0)), ' '), ''), nullif(array_join(slice(_right, _at + 1, _n), ' '), ''))
+        when _at > 1 then array_join(slice(_right, 1, greatest(_at - 1, 0)), ' ')
+        when array_max(_sizes) = 1 then _right[1]
+        else _right[int(array_position(_sizes, array_max(_sizes))) - 1] end"""
+    last = "case when _comma > 1 then substring_index(_clean, ',', 1) else _right[0] end"
+    df = df.withColumns({"last_name": F.expr(last), "middle_name": F.expr(middle), "first_name": F.expr(first)})
+    return df.drop("_clean", "_comma", "_right", "_sizes", "_ones", "_at", "_n")
+
+
 def bad_employer(s: Column) -> Column:
     return _bad(s, BAD_EMPLOYER)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.text import ascii_upper, split_name, zip5
+from kindred.functions.text import ascii_upper, with_names, zip5
 
 #: Token types.
 LAST, FIRST, MIDDLE, ZIP, STREET, AFFILIATION, FULL = 1, 2, 3, 4, 5, 67, 123
@@ -15,9 +15,7 @@ RARE = 2
 
 def normalised(records: DataFrame) -> DataFrame:
     """Records with last_name, middle_name, first_name, employer, occupation, address and zip."""
-    name = split_name(F.col("NAME"))
-    return records.withColumns({
-        "last_name": name["last"], "middle_name": name["middle"], "first_name": name["first"],
+    return with_names(records, "NAME").withColumns({
         "employer": F.coalesce(ascii_upper(F.col("EMPLOYER")), F.lit("")), "occupation": F.coalesce(ascii_upper(F.col("OCCUPATION")), F.lit("")),
         "address": F.col("CONTRIBUTOR_STREET_1"), "zip": zip5(F.col("ZIP_CODE")),
     })

@@ -57,8 +57,7 @@ def name_junk(spark, sf_dir):
 
 @query("splitname", f"with {CONTRIB}, src as (select id, NAME from contrib), {split_name_ctes('src')} select id, last_name, middle_name, first_name from named")
 def splitname(spark, sf_dir):
-    n = T.split_name(F.col("NAME"))
-    return contrib(spark, sf_dir).select("id", n["last"].alias("last_name"), n["middle"].alias("middle_name"), n["first"].alias("first_name"))
+    return T.with_names(contrib(spark, sf_dir).select("id", "NAME"), "NAME").drop("NAME")
 
 
 @query("splitname_hard", f"with {HARD_SQL}, {split_name_ctes('hard')} select NAME, last_name, middle_name, first_name from named")
