@@ -436,24 +436,48 @@ bo as (select identity1, identity2, max(o) as o, max(e) as e from fq group by 1,
 pc2 as (select bestn.identity1, bestn.identity2, case when worst<0 then -1 else n end as n, f_with, f_without, o, e from bestn join bo using (identity1, identity2) where n>=3 and (o>=2 or e>=2))"""
 
 
+STAGE2 = {"last": "last_name", "middle": "middle_name", "first": "first_name", "employer": "EMPLOYER", "occupation": "OCCUPATION"}
+
+
+def stage2_pairs(m):
+    """All records by identity (state, last and first name), and all pairs of identities of one last name in two states."""
+    ident = m.select(F.concat_ws("|", "STATE", "last_name", "first_name").alias("identity"), "STATE", *[F.col(v).alias(k) for k, v in STAGE2.items()]).distinct()
+    heads = ident.select("identity", "last", "STATE").distinct()
+    pairs = heads.selectExpr("identity identity1", "last", "STATE s1").join(heads.selectExpr("identity identity2", "last", "STATE s2"), "last").where("s1 < s2")
+    return ident, pairs.select("identity1", "identity2")
+
+
 def stage2_codes(spark, sf_dir):
+    """Codes of all identity pairs, in rows of name codes and rows of affiliation codes, for ``person_comparison``.
+
+    A code is made once for two values under a last name. Of the affiliation codes only the best counts, so each
+    value first takes its best against an identity, and not all pairs of records are made.
+    """
     m = written(members(spark, sf_dir), "members")
-    ident = m.where("id % 3 = 0").withColumn("identity", F.concat_ws("|", "STATE", "last_name", "first_name"))
-    heads = ident.select("identity", "last_name", "STATE").distinct()
-    x = heads.where("STATE in ('NATION_1', 'NATION_2')").selectExpr("identity identity1", "last_name", "STATE s1")
-    y = heads.where("STATE = 'NATION_3'").selectExpr("identity identity2", "last_name", "STATE s2")
-    pairs = x.join(y, "last_name").where("s1 < s2").select("identity1", "identity2")
-    names = {"last_name": "last", "middle_name": "middle", "first_name": "first", "EMPLOYER": "employer", "OCCUPATION": "occupation"}
-    records = ident.select("identity", *[F.col(k).alias(v) for k, v in names.items()])
+    ident, pairs = stage2_pairs(m)
+    ident = written(ident, "identities")
     e, o = (A.transition_edges(m, "identity", "TRANSACTION_DT", f).withColumn("significance", F.lit(1.0)) for f in ("EMPLOYER", "OCCUPATION"))
-    held = C.with_lookups(I.cross(pairs, records, list(names.values())), K.token_counts(m, K.name_tokens()), variants(spark), known_names(spark), e, o)
-    held = C.frequency_pair(held, K.person_tokens(m))
-    return held.withColumns({"n": C.names(), "e": C.employers(), "o": C.occupations(), "osig": F.col("occupation_sig"), "esig": F.col("employer_sig")})
+
+    def coded(*fields):
+        values = ident.select("last", *fields).distinct()
+        x, y = (values.select(*[(F.col(f) if f in values.columns else F.lit("")).alias(f + side) for f in STAGE2]) for side in "12")
+        return C.with_lookups(x.join(y, F.col("last1") == F.col("last2")), K.token_counts(m, K.name_tokens()), variants(spark), known_names(spark), e, o)
+
+    names = C.frequency_pair(coded("middle", "first"), K.person_tokens(m)).select("last1", "middle1", "first1", "last2", "middle2", "first2", C.names().alias("n"), "f_with", "f_without")
+    by_name = I.cross(pairs, ident, ["last", "middle", "first"]).join(written(names, "codes"), [f + side for f in ("last", "middle", "first") for side in "12"])
+    codes = coded("employer", "occupation").select("last1", "employer1", "occupation1", "employer2", "occupation2", F.struct(C.occupations().alias("code"), F.coalesce("occupation_sig", F.lit(-1.0)).alias("sig")).alias("o"), F.struct(C.employers().alias("code"), F.coalesce("employer_sig", F.lit(-1.0)).alias("sig")).alias("e"))
+    held = [ident.select(F.col("identity").alias(f"identity{side}"), F.col("STATE").alias(f"s{side}"), F.col("last").alias("last1"), F.col("employer").alias(f"employer{side}"), F.col("occupation").alias(f"occupation{side}")).distinct() for side in "12"]
+    best = held[0].join(written(codes, "codes"), ["last1", "employer1", "occupation1"]).groupBy("identity1", "s1", "last1", "employer2", "occupation2").agg(F.max("o").alias("o"), F.max("e").alias("e"))
+    by_affiliation = best.join(held[1], ["last1", "employer2", "occupation2"]).where("s1 < s2").selectExpr("identity1", "identity2", "o.code o", "o.sig osig", "e.code e", "e.sig esig")
+    return by_name.select("identity1", "identity2", "n", "f_with", "f_without").unionByName(by_affiliation, allowMissingColumns=True)
 
 
 @query("identity_cross", f"{CROSS} select identity1, identity2, count(*) as n from pr group by all")
 def identity_cross(spark, sf_dir):
-    return stage2_codes(spark, sf_dir).groupBy("identity1", "identity2").agg(F.count("*").alias("n"))
+    ident, pairs = stage2_pairs(written(members(spark, sf_dir), "members"))
+    sizes = ident.groupBy("identity").agg(F.count("*").alias("n"))
+    held = pairs.join(sizes.selectExpr("identity identity1", "n n1"), "identity1").join(sizes.selectExpr("identity identity2", "n n2"), "identity2")
+    return held.select("identity1", "identity2", (F.col("n1") * F.col("n2")).alias("n"))
 
 
 @query("identity_compare", f"{CROSS}, {BEST} select identity1, identity2, cast(n as int) as n, f_with, f_without, cast(o as int) as o, cast(e as int) as e from pc2")
