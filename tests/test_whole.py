@@ -1,6 +1,7 @@
 """Queries over whole tables, against their SQL without the filters that keep it short."""
 
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -9,8 +10,10 @@ from kindred.plans import catalog
 
 TABLES = "nation customer orders lineitem".split()
 STAGE2 = [" where id % 3=0", " and x.STATE in ('NATION_1','NATION_2') and y.STATE='NATION_3'"]
+SPARSE = ["l_orderkey % 40 = 0 and "]
 CUTS = {
     "identity_cross": STAGE2, "identity_compare": STAGE2, "verdict": STAGE2,
+    "khop": SPARSE,
 }
 
 
@@ -34,3 +37,22 @@ def test_query_equals_uncut_sql(spark, duck, sf_dir, name):
     df = catalog.queries()[name](spark, sf_dir)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr(list(r)) for r in found.fetchall())
+
+
+def test_components_of_all_orders(spark, duck, sf_dir):
+    around = defaultdict(set)
+    for a, b in duck.execute("select distinct l_partkey, l_suppkey from lineitem where l_partkey<>l_suppkey").fetchall():
+        around[a].add(b)
+        around[b].add(a)
+    want = {}
+    for start in sorted(around):
+        front = [] if start in want else [start]
+        while front:
+            node = front.pop()
+            if node not in want:
+                want[node] = start
+                front += around[node]
+    assert {r.node: r.component for r in catalog.queries()["components"](spark, sf_dir).collect()} == want
+    parts = catalog.queries()["balance_partitions"](spark, sf_dir).collect()
+    assert sum(r.size for r in parts) == len(want)
+    assert sum(r.n_items for r in parts) == len(set(want.values()))
