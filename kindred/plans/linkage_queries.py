@@ -342,13 +342,9 @@ def identity_label(spark, sf_dir):
 ID17 = "ids as (select id, concat(STATE,'|',NAME) as identity from members where id % 5=0)"
 
 
-def ids17(spark, sf_dir):
-    return members(spark, sf_dir).where("id % 5 = 0").select("id", "identity")
-
-
 @query("full_adjacency", f"{WITH}, {ID17} select x.id as a, y.id as b from ids x join ids y on x.identity=y.identity and x.id<>y.id")
 def full_adjacency(spark, sf_dir):
-    return I.full_adjacency(ids17(spark, sf_dir))
+    return I.full_adjacency(members(spark, sf_dir).select("id", "identity"))
 
 
 # --- linked identities: pairs of customers' names across nations, with synthetic codes
@@ -583,14 +579,14 @@ def voter_match(spark, sf_dir):
 @query("voter_freq", f"with {VOTERS}, f as (select last, first, count(*) as n from voters where personid % 2=0 group by all) select personid, coalesce(n, 0) as n from voters left join f using (last, first)")
 def voter_freq(spark, sf_dir):
     v = voters(spark, sf_dir)
-    f = v.where("personid % 2 = 0").groupBy("last", "first").agg(F.count("*").alias("n"))
+    f = v.groupBy("last", "first").agg(F.count("*").alias("n"))
     return v.join(f, ["last", "first"], "left").select("personid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("coding_table", f"{WITH}, {VOTERS}, t as (select distinct last, first from voters where personid % 50=0), hits as (select t.last, t.first, m.id, m.identity from t join members m on list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.last) and list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.first)) select last, first, id, identity, case when identity like 'NATION_1|%' then 1 else 3 end as section from hits")
 def coding_table(spark, sf_dir):
     """For hand coding: per target the records of linked (1) and of similar, unlinked (3) identities."""
-    t = voters(spark, sf_dir).where("personid % 50 = 0").select("last", "first").distinct()
+    t = voters(spark, sf_dir).select("last", "first").distinct()
     tokens = members(spark, sf_dir).select("id", "identity", F.array_distinct(F.split(F.upper("NAME"), r"[^A-Z0-9']+")).alias("tokens"))
     by_last = tokens.select("id", "identity", "tokens", F.explode("tokens").alias("last"))
     hits = t.join(by_last, "last").where(F.array_contains("tokens", F.col("first")))

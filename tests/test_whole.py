@@ -14,6 +14,7 @@ SPARSE = ["l_orderkey % 40 = 0 and "]
 CUTS = {
     "identity_cross": STAGE2, "identity_compare": STAGE2, "verdict": STAGE2,
     "khop": SPARSE,
+    "full_adjacency": [" where id % 5=0"], "coding_table": [" where personid % 50=0"], "voter_freq": [" where personid % 2=0"],
 }
 
 
