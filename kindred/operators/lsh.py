@@ -100,6 +100,15 @@ def candidate_pairs(hashed: DataFrame, bits: int, rounds: int, n: int, by: list[
     return found.groupBy("a", "b").agg(F.count("*").alias("count"))
 
 
+def national_pairs(hashed: DataFrame, bits: int, rounds: int, n: int, ranges: int) -> DataFrame:
+    """The same over one order of all rows for each permutation."""
+    found = None
+    for r in range(rounds):
+        own = range_neighbours(hashed.withColumn("_h", permuted(F.col("hash"), bits, r)), "_h", n, ranges)
+        found = own if found is None else found.union(own)
+    return found.groupBy("a", "b").agg(F.count("*").alias("count"))
+
+
 def identity_pairs(pairs: DataFrame, identities: DataFrame, least: int = 1) -> DataFrame:
     """(identity1, identity2, count): pairs of different identities met more than ``least`` times."""
     a = identities.selectExpr("id a", "identity ia")

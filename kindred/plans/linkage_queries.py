@@ -98,6 +98,11 @@ def candidates(spark, sf_dir):
     return L.candidate_pairs(hashed(spark, sf_dir), BITS, ROUNDS, 3, ["STATE"])
 
 
+def national(spark, sf_dir):
+    """Candidates over all states, which pairs of identities are drawn from."""
+    return L.national_pairs(hashed(spark, sf_dir), BITS, ROUNDS, 3, 6)
+
+
 @query("candidate_pairs", f"{WITH}, {HASH}, {CAND} select a, b, count from cand where count>1")
 def candidate_pairs(spark, sf_dir):
     return candidates(spark, sf_dir).where(F.col("count") > 1)
@@ -105,17 +110,17 @@ def candidate_pairs(spark, sf_dir):
 
 @query("nat_pairs", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>1")
 def nat_pairs(spark, sf_dir):
-    return L.identity_pairs(candidates(spark, sf_dir), members(spark, sf_dir))
+    return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir))
 
 
 @query("identity_pair_weight", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>2")
 def identity_pair_weight(spark, sf_dir):
-    return L.identity_pairs(candidates(spark, sf_dir), members(spark, sf_dir), 2)
+    return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir), 2)
 
 
 @query("candidate_topn", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>1 order by count desc, identity1, identity2 limit 100")
 def candidate_topn(spark, sf_dir):
-    return L.top_pairs(L.identity_pairs(candidates(spark, sf_dir), members(spark, sf_dir)), 100)
+    return L.top_pairs(L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir)), 100)
 
 
 @query("stage1_pairs", f"{WITH}, {HASH}, {CAND}, {next_sql('members', 'NAME', 5)} select a, b from cand union select a, b from nb")

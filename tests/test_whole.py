@@ -11,9 +11,10 @@ from kindred.plans import catalog
 TABLES = "nation customer orders lineitem".split()
 STAGE2 = [" where id % 3=0", " and x.STATE in ('NATION_1','NATION_2') and y.STATE='NATION_3'"]
 SPARSE = ["l_orderkey % 40 = 0 and "]
+NATIONAL = ["partition by STATE ", "x.STATE=y.STATE and "]
 CUTS = {
     "identity_cross": STAGE2, "identity_compare": STAGE2, "verdict": STAGE2,
-    "khop": SPARSE,
+    "khop": SPARSE, "nat_pairs": NATIONAL, "identity_pair_weight": NATIONAL, "candidate_topn": NATIONAL,
     "full_adjacency": [" where id % 5=0"], "coding_table": [" where personid % 50=0"], "voter_freq": [" where personid % 2=0"],
 }
 
