@@ -7,6 +7,10 @@ of at least 0.8 / 4.2 if the segment has 0.8 of it; ``coords`` coordinates then
 0.81 ** coords. One equal coordinate makes a candidate, which the exact share of the item's shingles among those
 of the whole document confirms.
 
+That holds for items whose distinct shingles are in the class of their positions. Repetitive items, and those of
+fewer than 8 distinct shingles, are looked up exactly: one more of their shingles than a document may lack are
+posted, and a document that has any of these is a candidate.
+
 Items are taken in slices of bounded size, each matched against all documents in one pass without a shuffle.
 
 Rows: null and empty texts hold nothing, on either side. An item with fewer words than a shingle is one
@@ -73,10 +77,18 @@ class ItemIndex:
             self.ids.append(item_id)
             self.sets.append(np.unique(held))
             self.width.append(n)
-            if n < search.shingle:
-                self.short[n][int(held[0])].append(at)
+            distinct = len(self.sets[at])
+            if distinct < 8 or distinct.bit_length() != len(held).bit_length():
+                lacking = distinct + search.percent * -distinct // 100
+                for h in self.sets[at][: lacking + 1].tolist():
+                    self.short[n][h].append(at)
             else:
-                classes[max(3, int(math.log2(len(held))))].append(at)
+                classes[distinct.bit_length() - 1].append(at)
+        self.wanted = {}
+        for n, table in self.short.items():
+            likely = np.zeros(1 << 16, bool)
+            likely[(values := np.array(sorted(table), U64)) & U64(0xFFFF)] = True
+            self.wanted[n] = values, likely
         self.partitions = [self._partition(2 << s, members) for s, members in sorted(classes.items())]
 
     def _partition(self, stride: int, members: list[int]) -> Partition:
@@ -96,12 +108,12 @@ class ItemIndex:
         """(position of the text, position of the item, shingles found) of the confirmed pairs."""
         words = [word_hashes(lower_ascii(t).split()) for t in texts]
         pairs: set[tuple[int, int]] = set()
-        for n, table in self.short.items():
-            wanted = np.array(sorted(table), U64)
-            for d, w in enumerate(words):
-                for h in np.intersect1d(windows(w, n), wanted).tolist():
-                    pairs.update((d, i) for i in table[h])
         sets = [windows(w, self.search.shingle) for w in words]
+        for n, (wanted, likely) in self.wanted.items():
+            for d, w in enumerate(words):
+                held = sets[d] if n == self.search.shingle else windows(w, n)
+                for h in np.intersect1d(held[likely[held & U64(0xFFFF)]], wanted).tolist():
+                    pairs.update((d, i) for i in self.short[n][h])
         some = [d for d, s in enumerate(sets) if len(s)]
         if some and self.partitions:
             pairs |= self._meet(np.array(some), [sets[d] for d in some])

@@ -66,3 +66,11 @@ def test_empty_tables(spark):
     check(spark, [], items)
     check(spark, docs, [])
     check(spark, docs * 2, items * 2)
+
+
+def test_small_and_repetitive_items_are_always_found(spark):
+    rng = random.Random(7)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [make(5 + k % 9) for k in range(180)] + [make(2) * (10 + k) for k in range(40)] + [make(9) * 12 for _ in range(20)]
+    docs = [" ".join(make(200) + w + make(200)) for w in items]
+    check(spark, list(enumerate(docs)), [(k, " ".join(w)) for k, w in enumerate(items)])
