@@ -7,17 +7,18 @@
    the pairs, rarest first, two classes with ``agree`` common pairs meet in their first
    ``coords - agree + 1`` ones; only this prefix is joined, which skips the pairs of passages that
    many unlike documents share.
-3. Star round: within each posting every class meets the smallest. Links are confirmed on the full sets and
+3. Star round: within each posting every class meets the first, by doc_id. Links are confirmed on the full sets and
    contracted, so that a group of near copies is one component before pairs are listed.
-4. Rest round: where a posting still holds several components, all its classes outside its largest
-   component meet the whole posting, in blocks. Pairs that collide often enough, and whose similarity has an upper
+4. Rest round: of the postings that still hold several components, classes go whose shingles other classes don't
+   hold (see ``shared_enough``). In those that are still mixed, all classes outside the largest component meet the
+   whole posting, in blocks. Pairs that collide often enough, and whose similarity has an upper
    bound (see ``upper``) high enough, are confirmed as well.
 
 No posting is cut and no pair is left out; a group's copies never turn into all its pairs.
 
 Rows: texts that are null or without words have an empty set and are linked with nothing. Rows with the same
-doc_id are one node. A row without doc_id belongs to the class of its text, if there is one. Extra columns of
-the input are not read.
+doc_id are one node: what any of their texts reaches, all reach. A row without doc_id belongs to the class of its
+text, if there is one. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.text import U64, binomial_tail, groups, lower_ascii, map_groups, mix, rows, segment_min, windows, word_hashes, written
+from kindred.llm.text import U64, binomial_tail, fresh, groups, lower_ascii, map_groups, mix, rows, segment_min, windows, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -74,11 +75,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, match: Match) -> DataFrame:
-    """doc_id, n_shingles, and for non-empty sets the digest and the posted pairs."""
+    """doc_id, h (a hash of the text), n_shingles, and for non-empty sets the digest and the posted pairs."""
 
     def work(group: list[tuple]) -> dict:
         factor, shift = match.factors()
-        sets = [shingle_set(text, match.shingle) for _, text in group]
+        sets = [shingle_set(text, match.shingle) for _, text, _ in group]
         sizes = np.array([len(s) for s in sets])
         some = np.flatnonzero(sizes)
         tokens = np.zeros((len(some), match.coords), np.int64)
@@ -89,17 +90,18 @@ def sketches(docs: DataFrame, match: Match) -> DataFrame:
                 tokens[:, c] = mix(segment_min((held ^ shift[c]) * factor[c], starts) ^ U64(c + 1)).view(np.int64)
         at = dict(zip(some.tolist(), range(len(some)), strict=True))
         return {
-            "doc_id": pa.array([i for i, _ in group], pa.int64()),
+            "doc_id": pa.array([i for i, _, _ in group], pa.int64()),
+            "h": pa.array([h for _, _, h in group], pa.int64()),
             "n_shingles": pa.array(sizes, pa.int64()),
             "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             "tokens": pa.array([tokens[at[i]] if i in at else None for i in range(len(group))], pa.list_(pa.int64())),
         }
 
-    return map_groups(docs, ["doc_id", "text"], work, "doc_id long, n_shingles long, digest binary, tokens array<long>")
+    return map_groups(docs, ["doc_id", "text", "h"], work, "doc_id long, h long, n_shingles long, digest binary, tokens array<long>")
 
 
 def postings(classes: DataFrame, match: Match) -> DataFrame:
-    """Prefix pairs of the classes that share enough of theirs: class_id, tokens, prefix array<long>."""
+    """Prefix pairs of the classes that share enough of theirs: class_id, doc_id, tokens, prefix array<long>."""
     each = classes.select("class_id", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = each.join(shared, "token").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
@@ -122,7 +124,7 @@ def bitmaps(texts: DataFrame, match: Match) -> DataFrame:
         sets = [shingle_set(text, match.shingle) for _, text in group]
         return {"class_id": pa.array([i for i, _ in group], pa.int64()), "size": pa.array([len(x) for x in sets], pa.int64()), "bits": pa.array([bitmap(x, match).tobytes() for x in sets], pa.binary())}
 
-    return map_groups(texts, ["doc_id", "text"], work, "class_id long, size long, bits binary")
+    return map_groups(texts, ["class_id", "text"], work, "class_id long, size long, bits binary")
 
 
 def upper(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -167,26 +169,54 @@ def likely(left: pd.DataFrame, right: pd.DataFrame, match: Match) -> tuple[np.nd
 
 
 def star_pairs(posted: DataFrame, match: Match) -> DataFrame:
-    """Each class with the smallest class of each of its postings, where they collide often enough."""
-    flat = posted.select("class_id", F.explode("prefix").alias("token"))
-    least = flat.groupBy("token").agg(F.min("class_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
+    """Each class with the one of the smallest doc_id in each of its postings, where they collide often enough."""
+    flat = posted.select("class_id", "doc_id", F.explode("prefix").alias("token"))
+    least = flat.groupBy("token").agg(F.min(F.struct("doc_id", "class_id")).alias("least"), F.count("*").alias("n")).where("n > 1").selectExpr("token", "least.class_id b")
     pairs = flat.join(least, "token").where("class_id <> b").selectExpr("class_id a", "b").distinct()
     pairs = pairs.join(posted.selectExpr("class_id a", "tokens ta"), "a").join(posted.selectExpr("class_id b", "tokens tb"), "b")
     hits = F.expr("aggregate(zip_with(ta, tb, (x, y) -> int(x = y)), 0, (s, x) -> s + x)")
     return pairs.where(hits >= match.agree).select("a", "b")
 
 
-def rest_pairs(posted: DataFrame, bits: DataFrame, labels: DataFrame, match: Match) -> DataFrame:
+def mixed_postings(flat: DataFrame, match: Match) -> DataFrame:
+    """The postings of (class_id, component, token) that hold several components, with the largest and the blocks they make."""
+    parts = flat.groupBy("token", "component").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return mixed.selectExpr("token", "most.component main", f"int(ceil(n / {match.block})) chunks", f"int(ceil((n - most.k) / {match.block})) asks")
+
+
+def shared_enough(texts: DataFrame, match: Match) -> DataFrame:
+    """class_id of the texts of which other texts together hold enough shingles for a link.
+
+    What no other text has can't be in an intersection; so unlike documents that share a passage go without being
+    paired. Counts alone tell: a shingle that one text has is counted against that text.
+    """
+
+    def work(group: list[tuple]) -> dict:
+        sets = [shingle_set(text, match.shingle) for _, text in group]
+        return {"class_id": pa.array([i for i, _ in group], pa.int64()), "held": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))}
+
+    sets = map_groups(texts, ["class_id", "text"], work, "class_id long, held array<long>")
+    each = sets.select("class_id", F.explode("held").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    own = own.groupBy("class_id").agg(F.sum(F.expr("int(n = 1)")).alias("alone"))
+    sizes = sets.selectExpr("class_id", "size(held) size")
+    return sizes.join(own, "class_id", "left").where(f"100 * (size - coalesce(alone, 0)) >= {match.percent} * size").select("class_id")
+
+
+def rest_pairs(posted: DataFrame, texts: DataFrame, labels: DataFrame, match: Match) -> DataFrame:
     """Colliding pairs of different components, of each posting that holds several."""
     own = posted.join(labels.selectExpr("node class_id", "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    own = written(own.select("class_id", "component", "tokens", "prefix"), "members")
     flat = own.select("class_id", "component", F.explode("prefix").alias("token"))
-    parts = flat.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.selectExpr("token", "most.component main", f"int(ceil(n / {match.block})) chunks", f"int(ceil((n - most.k) / {match.block})) asks")
-    flat = flat.join(mixed, "token").withColumn("h", F.xxhash64("class_id"))
+    some = written(flat.join(mixed_postings(flat, match).select("token"), "token", "left_semi").select("class_id").distinct(), "mixed")
+    some = written(shared_enough(texts.join(some, "class_id", "left_semi"), match), "mixed")
+    bits = written(bitmaps(texts.join(some, "class_id", "left_semi"), match), "bitmaps")
+    flat = flat.join(some, "class_id", "left_semi")
+    flat = flat.join(mixed_postings(flat, match), "token").withColumn("h", F.xxhash64("class_id"))
     ask = flat.where("component <> main").selectExpr("token", "class_id", "1 asks", "int(pmod(h, asks)) q", "explode(sequence(0, chunks - 1)) c")
     told = flat.selectExpr("token", "class_id", "0 asks", "explode(sequence(0, asks - 1)) q", "int(pmod(h, chunks)) c")
-    meet = ask.union(told).join(own.select("class_id", "component", "tokens", "prefix").join(bits, "class_id"), "class_id")
+    meet = ask.union(told).join(own.join(bits, "class_id"), "class_id")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.asks == 1], group[group.asks == 0]
@@ -204,7 +234,7 @@ def rest_pairs(posted: DataFrame, bits: DataFrame, labels: DataFrame, match: Mat
 
 def confirmed(pairs: DataFrame, texts: DataFrame, match: Match) -> DataFrame:
     """The pairs that the full shingle sets link."""
-    both = pairs.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b")
+    both = pairs.join(texts.selectExpr("class_id a", "text ta"), "a").join(texts.selectExpr("class_id b", "text tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -226,31 +256,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame, match: Match) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, match: Match | None = None) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept: one row per row of ``docs`` (doc_id long, text string)."""
-    match = match or Match()
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) h")
+
+
+def grouped(docs: DataFrame, match: Match) -> DataFrame:
+    """doc_id, h, n_shingles, class_id, group, head for every row of ``docs`` (doc_id, text, h).
+
+    ``group`` numbers the texts that are linked, whatever their doc_ids, and ``head`` is the smallest doc_id in it.
+    """
     drawn = written(sketches(docs, match), "sketches")
-    least = written(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
-    drawn_class = drawn.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
-    classes = drawn.join(least.where("class_id is not null").selectExpr("digest", "class_id"), "digest").where("doc_id = class_id")
-    classes = classes.select("class_id", "tokens").dropDuplicates()
+    # the rows that stand for a class: equal (doc_id, h) have equal texts, and so equal tokens
+    least = drawn.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    least = written(least.selectExpr("digest", "first.doc_id", "first.h", "monotonically_increasing_id() class_id"), "classes")
+    classes = drawn.select("digest", "doc_id", "h", "tokens").join(least, ["digest", "doc_id", "h"]).select("class_id", "doc_id", "tokens").dropDuplicates(["class_id"])
     posted = written(postings(classes, match), "postings")
-    texts = written(docs.join(posted.selectExpr("class_id doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    asked = least.join(posted.select("class_id"), "class_id", "left_semi").select("doc_id", "h", "class_id")
+    texts = written(docs.join(asked, ["doc_id", "h"]).groupBy("doc_id", "h", "class_id").agg(F.first("text").alias("text")).select("class_id", "text"), "texts")
     links = written(confirmed(star_pairs(posted, match), texts, match), "links")
     labels = components(links)
-    bits = written(bitmaps(texts, match), "bitmaps")
-    more = written(confirmed(rest_pairs(posted, bits, labels, match), texts, match), "links")
+    more = written(confirmed(rest_pairs(posted, texts, labels, match), texts, match), "links")
     labels = components(links.union(more))
-    found = drawn_class.join(labels.selectExpr("node class_id", "component"), "class_id", "left")
-    found = found.withColumn("component_id", F.coalesce("component", "class_id", "doc_id"))
-    return found.selectExpr("doc_id", "n_shingles", "class_id", "component_id", "coalesce(doc_id = component_id, component_id is null) kept")
+    least = least.join(labels.selectExpr("node class_id", "component"), "class_id", "left").selectExpr("digest", "class_id", "doc_id", "coalesce(component, class_id) group")
+    heads = least.groupBy("group").agg(F.min("doc_id").alias("head"))
+    least = least.drop("doc_id").join(heads, "group")
+    return written(drawn.select("doc_id", "h", "n_shingles", "digest").join(least, "digest", "left").drop("digest"), "groups")
+
+
+def joined(found: DataFrame) -> DataFrame:
+    """The rows of ``grouped`` with component_id: the smallest doc_id that a row's doc_id reaches.
+
+    A doc_id that is repeated with unlike texts is an edge between their groups, and takes its empty texts along.
+    """
+    some = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("n"), F.count("group").alias("told"))
+    some = written(some.where("a <> b or (0 < told and told < n)").select("doc_id", "a"), "repeated")
+    if some.isEmpty():
+        return found.withColumn("component_id", F.coalesce("head", "doc_id"))
+    heads = written(found.where("group is not null").select("group", "head").distinct(), "heads")
+    labels = components(found.where("group is not null").join(some, "doc_id").selectExpr("a", "group b").distinct())
+    heads = heads.join(labels.selectExpr("node group", "component"), "group", "left").withColumn("component", F.coalesce("component", "group"))
+    least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
+    heads = written(heads.join(least, "component").select("group", "component_id"), "heads")
+    mine = some.join(heads.withColumnRenamed("group", "a"), "a").selectExpr("doc_id", "component_id own")
+    return found.join(heads, "group", "left").join(mine, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "own", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, match: Match | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id long, text string)."""
+    found = joined(grouped(hashed(docs), match or Match()))
+    return found.selectExpr("doc_id", "n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) kept")
 
 
 def keep_one(docs: DataFrame, match: Match | None = None) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, all columns unchanged.
+    """The documents that stay: of each group of linked texts the one with the smallest doc_id, all columns unchanged.
 
-    Rows without doc_id stay, and so do rows that share the doc_id that stays.
+    Rows without doc_id stay, and so do rows that share the doc_id and the group that stays. A doc_id that is
+    repeated with unlike texts is judged text by text, so that a text goes only where one that is linked with it stays.
     """
-    gone = near_duplicates(docs, match).where("not kept and doc_id is not null").selectExpr("doc_id gone_id")
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    id_, h = fresh(docs, "gone", "h")
+    gone = grouped(hashed(docs), match or Match()).where("doc_id <> head").selectExpr(f"doc_id {id_}", f"h {h}").distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[id_]) & (F.xxhash64(docs["text"]) == gone[h]), "left_anti")

@@ -105,3 +105,31 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    """A doc_id is one node of the graph, but no text goes unless one that is linked with it stays."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c, d = (words(80) for _ in range(4))
+    near = edited(rng, b, 1)
+    data = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, None), (9, "".split()), (9, c), (11, d), (4, c), (8, near.split()), (2, d), (2, words(50)), (11, words(9))]
+    data = [(i, None if t is None else " ".join(t)) for i, t in data]
+    df = spark.createDataFrame([(*x, "h", "group") for x in data], "doc_id long, text string, h string, gone string")
+    sets = [(i, shingles(t)) for i, t in data]
+    alike = lambda s, t: bool(s) and 100 * len(s & t) >= 85 * len(s | t)
+    edges = [(i, j) for i, s in sets for j, t in sets if i == j or alike(s, t)]
+    head = {i: i for i, _ in data}
+    for _ in data:
+        for i, j in edges:
+            head[i] = head[j] = min(head[i], head[j])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == sorted((i, len(s), head[i], head[i] == i) for i, s in sets)
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert set(kept) <= set(data)
+    for i, t in set(data) - set(kept):
+        assert any(alike(shingles(t), shingles(u)) for _, u in kept)
+    assert {i for i, t in kept if t and alike(shingles(t), frozenset(shingles(" ".join(a))))} == {3}
+    assert {i for i, t in kept if t and alike(shingles(t), frozenset(shingles(" ".join(b))))} == {5}
