@@ -4,14 +4,18 @@
    totals give each bucket's offset and a window inside the bucket the rest, so no task sees a whole source.
 2. The stream is cut into blocks of ``block_words``; a source's target in words gives its number of slots.
 3. Output shards draw their source counts from a multinomial over the slots that are still open, so that the
-   counts of all shards add up to the targets.
+   counts of all shards add up to the targets. Draws go down a tree of shard ranges, a level a pass, so that no
+   task draws for more than ``fan`` of them, however many shards there are.
 4. A source's slots run through its blocks in epochs; slot i of epoch e is block perm(i), a pseudorandom
    permutation of the block numbers keyed by source and epoch. No block is used more often than one time above
    any other of its source, and none more than ``cap`` times.
 5. Slots and blocks join by (source, block).
 
+The driver holds two numbers for each source; nothing else that it holds grows with the data.
+
 Rows: a null text has size 0 and is never taken; a null source is a source of its own, the last one. Rows with the
-same doc_id have places of their own. Equal inputs give equal mixes whatever the partitioning.
+same doc_id have places of their own. Equal inputs give equal mixes whatever the partitioning. Extra columns are
+passed on whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.text import U64, map_groups, mix, rows, written
+from kindred.llm.text import U64, fresh, groups, map_groups, mix, rows, word_count, word_spans, written
 
 
 @dataclass(frozen=True)
@@ -37,10 +41,8 @@ class Mix:
     cap: int = 2
     block_words: int = 128
     shard_slots: int = 8192
-    #: Shards are made larger rather than more than this, as their draws are made on the driver.
-    max_shards: int = 65_536
-    #: Sources that the driver may hold the totals of; more are an error.
-    max_sources: int = 100_000
+    #: Parts that a range of shards is drawn for at a time.
+    fan: int = 64
     seed: int = 17
 
 
@@ -72,23 +74,24 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 24) ->
     return x.astype(np.int64)
 
 
-def draws(slots: np.ndarray, mix_: Mix) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): each shard's multinomial draw over the slots still open."""
-    total = int(slots.sum())
-    size = max(mix_.shard_slots, math.ceil(total / mix_.max_shards))
-    rng = np.random.default_rng(mix_.seed)
-    left, used, out = slots.copy(), np.zeros_like(slots), []
-    for shard in range(math.ceil(total / size)):
-        want = min(size, int(left.sum()))
+def draws(slots: np.ndarray, shards: int, fan: int, size: int, seed: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A range of shards in up to ``fan`` parts: (first shard, shards, slots before, slots) of each.
+
+    ``slots`` has the open slots of each source; every part draws its own from a multinomial over those still open.
+    """
+    rng = np.random.default_rng(seed)
+    left, used, each = slots.copy(), np.zeros_like(slots), -(-shards // fan)
+    for first in range(0, shards, each):
+        n = min(each, shards - first)
+        want = min(n * size, int(left.sum()))
         got = np.zeros_like(slots)
         while want:
             more = np.minimum(rng.multinomial(want, left / left.sum()), left)
             got += more
             left -= more
             want -= int(more.sum())
-        out += [(shard, int(s), int(used[s]), int(got[s])) for s in np.flatnonzero(got)]
+        yield first, n, used.copy(), got
         used += got
-    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -98,7 +101,7 @@ def sized(docs: DataFrame) -> DataFrame:
         return {
             "doc_id": pa.array([i for i, _, _, _ in group], pa.int64()),
             "source": pa.array([None if s is None else s.decode() for _, _, s, _ in group], pa.string()),
-            "size": pa.array([len((t or b"").split()) for _, t, _, _ in group], pa.int64()),
+            "size": pa.array([word_count(t or b"") for _, t, _, _ in group], pa.int64()),
             "h": pa.array([h for _, _, _, h in group], pa.int64()),
         }
 
@@ -121,24 +124,45 @@ class Plan:
         each = self.places.where("size > 0").selectExpr("s", "start", "size", f"explode(sequence(start div {n}, (start + size - 1) div {n})) block")
         return each.selectExpr("s", "block", "start", f"greatest(0, block * {n} - start) word_from", f"least(start + size, (block + 1) * {n}) - greatest(start, block * {n}) n_words")
 
+    def shards(self) -> DataFrame:
+        """The draw of every output shard: first (its number), shards (1), and s, before, n, blocks by source."""
+        spark, mix_ = self.places.sparkSession, self.mix
+        n_blocks = [-(-x // mix_.block_words) for x in self.sizes]
+        slots = [min(mix_.cap * b, round(t * b / x)) if x else 0 for x, t, b in zip(self.sizes, self.targets, n_blocks, strict=True)]
+        some = [i for i, n in enumerate(slots) if n]
+        schema = "first long, shards long, s array<long>, before array<long>, n array<long>, blocks array<long>"
+        count = -(-sum(slots) // mix_.shard_slots)
+        table = spark.createDataFrame([(0, count, some, [0] * len(some), [slots[i] for i in some], [n_blocks[i] for i in some])] if some else [], schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for top, shards, *by_source in rows(batch, "first", "shards", "s", "before", "n", "blocks"):
+                    s, before, n, blocks = (np.array(x, np.int64) for x in by_source)
+                    for first, part, used, got in draws(n, shards, mix_.fan, mix_.shard_slots, (mix_.seed, top, shards)):
+                        held = np.flatnonzero(got)
+                        out = (s[held], (before + used)[held], got[held], blocks[held])
+                        yield pa.RecordBatch.from_pydict({"first": [top + first], "shards": [part]} | {c: pa.array([x], pa.list_(pa.int64())) for c, x in zip(("s", "before", "n", "blocks"), out, strict=True)})
+
+        while count > 1:
+            table, count = table.mapInArrow(run, schema), -(-count // mix_.fan)
+            table = table.repartition(spark.sparkContext.defaultParallelism * 4, "first")
+        return table
+
     def slots(self) -> DataFrame:
         """Every output slot: shard, slot, s, epoch, block."""
-        spark, n, seed = self.places.sparkSession, self.mix.block_words, self.mix.seed
-        n_blocks = np.array([-(-x // n) for x in self.sizes], np.int64)
-        slots = np.array([min(self.mix.cap * b, round(t * b / x)) if x else 0 for x, t, b in zip(self.sizes, self.targets, n_blocks.tolist(), strict=True)], np.int64)
-        table = spark.createDataFrame([(*d, int(n_blocks[d[1]])) for d in draws(slots, self.mix)], "shard long, s long, first long, n long, n_blocks long")
-        table = table.repartition(max(1, min(len(slots) * 4, spark.sparkContext.defaultParallelism * 4)))
+        seed = self.mix.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, s, first, count, size in rows(batch, "shard", "s", "first", "n", "n_blocks"):
-                    i = np.arange(first, first + count, dtype=np.int64)
-                    epoch = i // size
-                    key = mix(mix(np.full(count, s, U64) + U64(seed)) ^ epoch.astype(U64))
-                    block = permuted(i % size, np.full(count, size), key)
-                    yield pa.RecordBatch.from_pydict({"shard": np.full(count, shard), "slot": i, "s": np.full(count, s), "epoch": epoch, "block": block})
+                for shard, *by_source in rows(batch, "first", "s", "before", "n", "blocks"):
+                    for s, first, count, size in zip(*by_source, strict=True):
+                        i = np.arange(first, first + count, dtype=np.int64)
+                        epoch = i // size
+                        key = mix(mix(np.full(count, s, U64) + U64(seed)) ^ epoch.astype(U64))
+                        block = permuted(i % size, np.full(count, size), key)
+                        yield pa.RecordBatch.from_pydict({"shard": np.full(count, shard), "slot": i, "s": np.full(count, s), "epoch": epoch, "block": block})
 
-        return table.mapInArrow(run, "shard long, slot long, s long, epoch long, block long")
+        return self.shards().mapInArrow(run, "shard long, slot long, s long, epoch long, block long")
 
     def assembled(self) -> DataFrame:
         """What each output slot holds: shard, slot, s, epoch, block, start (of the document), word_from, n_words."""
@@ -153,9 +177,7 @@ def plan(docs: DataFrame, mix_: Mix | None = None, distinct: bool = False) -> Pl
     buckets = max(1, math.isqrt(drawn.count()))
     drawn = drawn.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)))
     parts = written(drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
-    per_source = parts.groupBy("source").agg(F.sum("words").alias("words")).limit(mix_.max_sources + 1).collect()
-    if len(per_source) > mix_.max_sources:
-        raise ValueError(f"more than {mix_.max_sources} sources")
+    per_source = parts.groupBy("source").agg(F.sum("words").alias("words")).collect()
     per_source.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r.words) for r in per_source]
     targets = water_fill(sizes, [mix_.weights[i % len(mix_.weights)] for i in range(len(sizes))], mix_.share, mix_.cap)
@@ -188,33 +210,33 @@ def take(docs: DataFrame, mix_: Mix | None = None) -> DataFrame:
     Repeated rows (same doc_id, source and text) share one place in the mix and each return with it.
     """
     p = plan(docs, mix_, distinct=True)
+    id_, source, h, held = fresh(docs, "doc_id", "source", "h", "parts")
     parts = p.assembled().groupBy("s", "start", "word_from", "n_words").agg(F.count("*").alias("uses"))
-    parts = parts.groupBy("s", "start").agg(F.sort_array(F.collect_list(F.struct("word_from", "n_words", "uses"))).alias("_parts"))
-    parts = p.places.join(parts, ["s", "start"]).selectExpr("doc_id _id", "source _source", "h _h", "_parts")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = keyed.doc_id.eqNullSafe(parts._id) & (keyed._key == parts._h) & keyed.source.eqNullSafe(parts._source)
-    joined = keyed.join(parts, same).select(*docs.columns, "_parts")
+    parts = parts.groupBy("s", "start").agg(F.sort_array(F.collect_list(F.struct("word_from", "n_words", "uses"))).alias("parts"))
+    parts = p.places.join(parts, ["s", "start"]).selectExpr(f"doc_id {id_}", f"source {source}", f"h {h}", f"parts {held}")
+    same = docs["doc_id"].cast("long").eqNullSafe(parts[id_]) & (F.xxhash64(docs["text"]) == parts[h]) & docs["source"].cast("string").eqNullSafe(parts[source])
+    joined = docs.join(parts, same).select(*(docs[c] for c in docs.columns), held)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(t, ranges) for t, ranges in rows(batch, "text", "_parts")]
-            out = {f.name: batch.column(batch.schema.names.index(f.name)) for f in schema}
-            out["text"] = pa.array(texts, pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(out)
+            at = 0
+            for group in groups(rows(batch, held, "text")):
+                here = batch.slice(at, len(group))
+                at += len(group)
+                texts = [cut(t, ranges) for ranges, t in group]
+                out = {f.name: here.column(here.schema.names.index(f.name)) for f in schema}
+                out["text"] = pa.array(texts, pa.string())
+                if "n_chars" in out:
+                    out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
+                yield pa.RecordBatch.from_pydict(out)
 
     return joined.mapInArrow(run, schema)
 
 
 def cut(text: bytes, parts: list[dict]) -> str:
     """The taken words of a text: runs of neighbouring parts as they stand in the text, one run to a line."""
-    flat, at, spans = text.split(), 0, []
-    for word in flat:
-        at = text.index(word, at)
-        spans.append((at, at := at + len(word)))
-    runs = []
+    runs: list[list[int]] = []
     for time in range(max(p["uses"] for p in parts)):
         end = None
         for p in parts:
@@ -224,4 +246,5 @@ def cut(text: bytes, parts: list[dict]) -> str:
                 else:
                     end = p["word_from"] + p["n_words"]
                     runs.append([p["word_from"], end])
-    return "\n".join(text[spans[a][0] : spans[b - 1][1]].decode() for a, b in runs)
+    begin, end = word_spans(text, [a for a, _ in runs], [b - 1 for _, b in runs])
+    return b"\n".join(text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)).decode()

@@ -6,15 +6,17 @@ so UTF-8 text is split without being decoded.
 
 from __future__ import annotations
 
-import gc
 import math
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from kindred.cluster import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
 
 U64 = np.uint64
 #: Odd multiplier of the rolling window hash.
@@ -30,6 +32,42 @@ def lower_ascii(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _edges(text: bytes, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where words begin and where they end, a stretch of the text at a time."""
+    before = True
+    for at in range(0, len(text), step):
+        white = _WHITE[np.frombuffer(text, np.uint8, min(step, len(text) - at), at)]
+        change = np.flatnonzero(np.diff(white, prepend=before))
+        begins = white[change] == 0
+        before = white[-1]
+        yield at + change[begins], at + change[~begins]
+    if not before:
+        yield np.empty(0, np.int64), np.array([len(text)])
+
+
+def word_count(text: bytes) -> int:
+    """Words of a text, without a list of them."""
+    return sum(len(begins) for begins, _ in _edges(text))
+
+
+def word_spans(text: bytes, firsts: list[int], lasts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions at which the words numbered ``firsts`` begin and those numbered ``lasts`` end."""
+    out = []
+    for side, wanted in enumerate((firsts, lasts)):
+        numbers, back = np.unique(np.array(wanted, np.int64), return_inverse=True)
+        found, seen = np.zeros(len(numbers), np.int64), 0
+        for edges in _edges(text):
+            a, b = np.searchsorted(numbers, [seen, seen + len(edges[side])])
+            found[a:b] = edges[side][numbers[a:b] - seen]
+            seen += len(edges[side])
+        out.append(found[back])
+    return out[0], out[1]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -102,37 +140,15 @@ def map_groups(df: DataFrame, names: list[str], work: Callable[[list[tuple]], di
     return df.select(*names).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder that the driver and all executors share.
-
-    That is ``spark.checkpoint.dir``, or a checkpoint folder set on the context; only where neither is
-    set, as in tests, a temporary folder is set, which a session on one machine can use.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="kindred-")
-            context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
-    """Write a DataFrame as Parquet in the shared folder and read it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, however it writes its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def removed(df: DataFrame) -> None:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from kindred.llm.mixing import Mix, cut, mixed, permuted, plan, take, water_fill
+from kindred.llm.text import word_count, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,3 +83,48 @@ def test_slots_fill_shards_and_blocks_evenly(spark, sf_dir):
 def test_cut_keeps_the_text_between_words():
     parts = [{"word_from": 0, "n_words": 2, "uses": 2}, {"word_from": 2, "n_words": 1, "uses": 1}, {"word_from": 4, "n_words": 1, "uses": 1}]
     assert cut("a\n b  c d é".encode(), parts) == "a\n b  c\né\na\n b"
+
+
+def test_words_of_a_text_are_found_stretch_by_stretch():
+    for text in (b"", b" ", b"a", b" a", b"ab cd ", b"\t\n\x0b\x0c\r x\x1fy \x85z", ("wort " * 300_000).encode(), b"x" * (1 << 20) + b" y", b"x" * (1 << 20), b" " * (1 << 20) + b"end"):
+        words = text.split()
+        assert word_count(text) == len(words)
+        picked = sorted({0, len(words) // 2, max(0, len(words) - 1)}) if words else []
+        begin, end = word_spans(text, picked, picked)
+        assert [text[a:b] for a, b in zip(begin, end)] == [words[i] for i in picked]
+
+
+def test_take_passes_on_columns_of_any_name_and_very_long_texts(spark):
+    names = ["_key", "_parts", "_id", "_source", "_h", "parts", "h", "s", "start", "Source_", "uses"]
+    data = [(1, "a b c " * 400_000, "x"), (2, None, "x"), (3, "", None), (4, "q r " * 500, None), (4, "q r " * 500, None), (4, "other " * 300, None), (None, "n o " * 300, "y")]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    df = spark.createDataFrame([(*x, len(x[1] or ""), *range(len(names))) for x in data], schema)
+    got = take(df).collect()
+    assert take(df).schema == df.schema
+    for r in got:
+        assert r[4:] == tuple(range(len(names)))
+        assert r.n_chars == len(r.text)
+    sizes = Counter()
+    for i, t, s in set(data):
+        sizes[s] += len(WORD.findall(t or ""))
+    targets = dict(zip(["x", "y", None], water_fill([sizes[s] for s in ("x", "y", None)], [5, 2, 1], 1.5, 2)))
+    taken = Counter()
+    for r in {(r.doc_id, r.text, r.source) for r in got}:
+        taken[r[2]] += len(WORD.findall(r[1]))
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 2 * Mix().block_words
+
+
+def test_draws_go_down_a_tree_of_shards(spark, sf_dir):
+    """The same number of slots in every shard, and every slot of a source once, however deep the tree is."""
+    p = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Mix(block_words=16, shard_slots=20, fan=3))
+    shards = p.shards().collect()
+    assert sorted(r.first for r in shards) == list(range(len(shards)))
+    sizes = Counter(sum(r.n) for r in shards)
+    assert sizes[20] >= len(shards) - 1
+    slots = p.slots().collect()
+    assert len(slots) == sum(sum(r.n) for r in shards)
+    for s in range(len(p.sizes)):
+        mine = sorted(r.slot for r in slots if r.s == s)
+        assert mine == list(range(len(mine)))
+        assert abs(len(mine) * 16 - p.targets[s]) <= 2 * 16
