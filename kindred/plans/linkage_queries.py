@@ -91,6 +91,8 @@ def hash_runs(spark, sf_dir):
 ROUNDS = 4
 CAND = ", ".join(f"p{r} as (select id, STATE, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', 3, out=f'n{r}')}" for r in range(ROUNDS))
 CAND += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f"select a, b from n{r}" for r in range(ROUNDS)) + ") x group by a, b)"
+NAT = ", ".join(f"p{r} as (select id, 1 as one, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', 3, 'one', out=f'n{r}')}" for r in range(ROUNDS))
+NAT += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f"select a, b from n{r}" for r in range(ROUNDS)) + ") x group by a, b)"
 IDP = "idn as (select id, concat(STATE,'|',NAME) as identity from members), idp as (select least(x.identity,y.identity) as identity1, greatest(x.identity,y.identity) as identity2, cast(sum(count) as bigint) as count from cand join idn x on x.id=cand.a join idn y on y.id=cand.b where x.identity<>y.identity group by 1, 2)"
 
 
@@ -108,17 +110,17 @@ def candidate_pairs(spark, sf_dir):
     return candidates(spark, sf_dir).where(F.col("count") > 1)
 
 
-@query("nat_pairs", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>1")
+@query("nat_pairs", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1")
 def nat_pairs(spark, sf_dir):
     return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir))
 
 
-@query("identity_pair_weight", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>2")
+@query("identity_pair_weight", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>2")
 def identity_pair_weight(spark, sf_dir):
     return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir), 2)
 
 
-@query("candidate_topn", f"{WITH}, {HASH}, {CAND}, {IDP} select * from idp where count>1 order by count desc, identity1, identity2 limit 100")
+@query("candidate_topn", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1 order by count desc, identity1, identity2 limit 100")
 def candidate_topn(spark, sf_dir):
     return L.top_pairs(L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir)), 100)
 
@@ -344,7 +346,7 @@ def identity_label(spark, sf_dir):
     return I.labelled(split, ["component", "spawn"])
 
 
-ID17 = "ids as (select id, concat(STATE,'|',NAME) as identity from members where id % 5=0)"
+ID17 = "ids as (select id, concat(STATE,'|',NAME) as identity from members)"
 
 
 @query("full_adjacency", f"{WITH}, {ID17} select x.id as a, y.id as b from ids x join ids y on x.identity=y.identity and x.id<>y.id")
@@ -425,8 +427,8 @@ def similar_not_linked(spark, sf_dir):
 
 # --- stage 2
 
-CROSS = f"""{WITH}, {NAME_TOK}, {VARIANTS}, {KNOWN}, {DOM}, {PERSON_TOK}, ident2 as (select distinct concat(STATE,'|',last_name,'|',first_name) as identity, last_name, middle_name, first_name, EMPLOYER, OCCUPATION, STATE from members where id % 3=0),
-idl as (select distinct identity, split_part(identity,'|',2) as ln, STATE from ident2), idpairs as (select x.identity as identity1, y.identity as identity2 from idl x join idl y on x.STATE<y.STATE and x.ln=y.ln and x.STATE in ('NATION_1','NATION_2') and y.STATE='NATION_3'),
+CROSS = f"""{WITH}, {NAME_TOK}, {VARIANTS}, {KNOWN}, {DOM}, {PERSON_TOK}, ident2 as (select distinct concat(STATE,'|',last_name,'|',first_name) as identity, last_name, middle_name, first_name, EMPLOYER, OCCUPATION, STATE from members),
+idl as (select distinct identity, split_part(identity,'|',2) as ln, STATE from ident2), idpairs as (select x.identity as identity1, y.identity as identity2 from idl x join idl y on x.STATE<y.STATE and x.ln=y.ln),
 pr as (select identity1, identity2, x.last_name as last1, y.last_name as last2, x.middle_name as middle1, y.middle_name as middle2, x.first_name as first1, y.first_name as first2, x.EMPLOYER as employer1, y.EMPLOYER as employer2, x.OCCUPATION as occupation1, y.OCCUPATION as occupation2
  from idpairs join ident2 x on x.identity=identity1 join ident2 y on y.identity=identity2), {LOOK},
 cd as (select *, {names_sql()} as n, {EMP_SQL} as e, {OCC_SQL} as o, case when middle1<>'' then middle1 else middle2 end as mid from lk),
@@ -556,7 +558,8 @@ def calibrate1d(spark, sf_dir):
 @query("calibrate2d")
 def calibrate2d(spark, sf_dir):
     """Accepted frequency pairs: cells of the blurred histogram above its mass threshold; at most 1199 x 99 cells."""
-    cells = I.histogram2d(points(spark, sf_dir))
+    dense = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 30 f1", "l_linenumber * 3 + int(l_quantity) f2")
+    cells = I.histogram2d(dense)
     threshold = I.mass_threshold(cells, 95).first()["threshold"] or 0
     region = I.blurred_region([(r.f1, r.f2, r.n) for r in cells.collect()], threshold)
     return spark.createDataFrame(region, "f1 int, f2 int")
@@ -581,14 +584,14 @@ def voter_match(spark, sf_dir):
     return held.where(near | (F.col("zip") == F.col("mz"))).select("personid", "id", F.when(near, "address").otherwise("zip").alias("how"))
 
 
-@query("voter_freq", f"with {VOTERS}, f as (select last, first, count(*) as n from voters where personid % 2=0 group by all) select personid, coalesce(n, 0) as n from voters left join f using (last, first)")
+@query("voter_freq", f"with {VOTERS}, f as (select last, first, count(*) as n from voters group by all) select personid, coalesce(n, 0) as n from voters left join f using (last, first)")
 def voter_freq(spark, sf_dir):
     v = voters(spark, sf_dir)
     f = v.groupBy("last", "first").agg(F.count("*").alias("n"))
     return v.join(f, ["last", "first"], "left").select("personid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("coding_table", f"{WITH}, {VOTERS}, t as (select distinct last, first from voters where personid % 50=0), hits as (select t.last, t.first, m.id, m.identity from t join members m on list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.last) and list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.first)) select last, first, id, identity, case when identity like 'NATION_1|%' then 1 else 3 end as section from hits")
+@query("coding_table", f"{WITH}, {VOTERS}, t as (select distinct last, first from voters), hits as (select t.last, t.first, m.id, m.identity from t join members m on list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.last) and list_contains(regexp_split_to_array(upper(m.NAME), '[^A-Z0-9'']+'), t.first)) select last, first, id, identity, case when identity like 'NATION_1|%' then 1 else 3 end as section from hits")
 def coding_table(spark, sf_dir):
     """For hand coding: per target the records of linked (1) and of similar, unlinked (3) identities."""
     t = voters(spark, sf_dir).select("last", "first").distinct()
@@ -614,4 +617,4 @@ def merge_persons(spark, sf_dir):
     found = C.compared(looked_up(spark, sf_dir)).select("a", "b", "verdict")
     a, b = m.selectExpr("id a", "component p"), m.selectExpr("id b", "component q")
     pairs = G.symmetric(found).join(a, "a").join(b, "b").where("p < q").select("p", "q").distinct()
-    return I.merged(m, pairs, found, 0.0)
+    return I.merged(m, pairs, found)
