@@ -50,9 +50,16 @@ def test_addresses(spark):
     assert [r.l for r in lines.collect()] == ["45 W. OAK AVE.", "PO BOX 12", "", None]
 
 
-def test_zip_and_state():
-    p = address.Parsed("10 Main St, Seattle, WA 98101")
-    assert (p.zip, p.state, p.suffix) == ("98101", "WA", "St.")
+def test_zip_state_and_city(spark, tmp_path):
+    df = spark.createDataFrame([("10 Main St, Seattle, WA 98101",)], "a string")
+    p = df.select(address.parsed_address("a", cities=["seattle"]).alias("p")).first().p
+    assert (p.zip, p.state, p.city, p.suffix, p.street, p.house) == ("98101", "WA", "Seattle", "St.", "Main", "10")
+    p = df.select(address.parsed_address("a").alias("p")).first().p  # a city that isn't known is a street without a suffix
+    assert (p.zip, p.state, p.city, p.suffix, p.street, p.house, p.apartment) == ("98101", "WA", None, None, "Seattle", "10", "Main")
+    (tmp_path / "s.csv").write_text("STRAVENUE,STRA\nbroken\n")
+    df = spark.createDataFrame([("7 South Palm Stravenue",)], "a string")
+    line = address.street_line("a", suffixes=address.read_suffixes(str(tmp_path / "s.csv")))
+    assert df.select(line.alias("l")).first().l == "7 S. PALM STRA."
 
 
 def greedy(positive, negative):
