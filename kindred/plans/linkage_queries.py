@@ -42,9 +42,9 @@ def next_sql(source, order, n, by="STATE", out="nb"):
     return f"{out}_r as (select *, row_number() over (partition by {by} order by {order}, id) as rn from {source}), {out} as (select x.{by}, least(x.id,y.id) as a, greatest(x.id,y.id) as b from {out}_r x join {out}_r y on x.{by}=y.{by} and y.rn between x.rn+1 and x.rn+{n})"
 
 
-@query("inner_product", f"{WITH}, {HASH} select id, k, cast(s as bigint) as s from sums where k<4")
+@query("inner_product", f"{WITH}, {HASH} select id, k, cast(s as bigint) as s from sums")
 def inner_product(spark, sf_dir):
-    flat = vectors(spark, sf_dir).select("id", F.explode("tokens").alias("t")).join(spark.range(4).selectExpr("id k"))
+    flat = vectors(spark, sf_dir).select("id", F.explode("tokens").alias("t")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
     return flat.groupBy("id", "k").agg(F.sum(L.sign(F.col("k"), F.col("t"))).alias("s"))
 
 

@@ -148,17 +148,17 @@ def zip5(spark, sf_dir):
     return contrib(spark, sf_dir).select("id", T.zip5(F.concat("ZIP_CODE", F.lit("1234"))).alias("zip"))
 
 
-@query("norm_emp", "select doc_id, nullif(upper(regexp_replace(substr(text, 1, 40), '[^\\x00-\\x7F]', '', 'g')), '') as plain from documents")
+@query("norm_emp", "select doc_id, nullif(upper(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), '') as plain from documents")
 def norm_emp(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.ascii_upper(F.substring("text", 1, 40)).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.ascii_upper(F.col("text")).alias("plain"))
 
 
-WORDS = "w as (select doc_id, list_distinct(string_split(lower(substr(text, 1, 200)), ' ')) as ws from documents)"
+WORDS = "w as (select doc_id, list_distinct(string_split(lower(text), ' ')) as ws from documents)"
 
 
 @query("jaccard", f"with {WORDS} select a.doc_id as a, b.doc_id as b, round(len(list_intersect(a.ws, b.ws)) / cast(len(list_distinct(list_concat(a.ws, b.ws))) as double), 9) as j from w a join w b on b.doc_id = a.doc_id + 1")
 def jaccard(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("ws"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("ws"))
     b = w.selectExpr("doc_id b", "ws wb").withColumn("a", F.col("b") - 1)
     return w.withColumnRenamed("doc_id", "a").join(b, "a").select("a", "b", F.round(T.jaccard(F.col("ws"), F.col("wb")), 9).alias("j"))
 
