@@ -8,11 +8,13 @@ a byte is then, choice by choice, the mix along its context path. A context that
 mix ends at its parent. A text is its words, A-Z lowered, between single spaces, with ``depth`` zero bytes before and
 one after.
 
-1. Every task sends each run of depth + 1 bytes of its documents, with its count in those to learn from, to the bucket
-   of the two bytes before the last one. All texts count, so every run that is to be scored is there.
-2. Buckets sum, weight all contexts of two bytes or more, and give the contexts of one byte; these and the root are
-   bounded by 256 * 255 nodes and are weighted on the driver.
-3. Each run's log probability goes to a table, in slices of bounded size that the scoring tasks hold one at a time.
+1. Documents are bundled in packets of a bounded number of distinct runs of depth + 1 bytes. A packet sends its runs,
+   with their counts in the texts to learn from, to buckets by their last two context bytes, and by the third as well
+   where the data make more buckets than that. All texts count, so every run that is to be scored is there.
+2. Buckets sum, in two steps where many packets meet, and weight all contexts of three bytes or more; contexts of two
+   bytes are put together by their bytes, and those of one byte, 256 * 255 nodes at most, on the driver.
+3. Buckets send the log probability of each of its runs back to every packet, and packets are scored by what they got.
+   Words are counted and sent back likewise. Nothing is broadcast, and the texts are passed over once.
 
 The base score is a word model: log10((c + 1) / (N + V + 1)) over the words, A-Z lowered, and an end.
 
@@ -23,17 +25,18 @@ scored one by one. Extra columns are not read.
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.tables import HashTable
-from kindred.llm.text import U64, groups, lower_ascii, mix, rows, word_hashes, written
+from kindred.llm.text import U64, groups, lower_ascii, mix, removed, rows, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -42,11 +45,13 @@ class Tree:
     #: Rows whose crc32(doc_id) mod ``folds`` is ``held_out`` are not learned from.
     folds: int = 7
     held_out: int = 2
+    #: Groups of contexts of two bytes.
     buckets: int = 256
-    #: Runs, or words, of one slice of a table.
-    slice_rows: int = 5_000_000
-    #: Distinct runs that a task gathers before it sends them.
+    #: Runs of a bucket, or of packets that meet in one, about.
+    bucket_rows: int = 3_000_000
+    #: A packet is closed with so many distinct runs, or bytes of text.
     gather: int = 1_000_000
+    packet_bytes: int = 24 << 20
 
 
 #: Stands for the end of a text among the words; no hash of a word is likely to be it.
@@ -77,42 +82,37 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Gathered:
-    """Counts of keys of a task; gives them up by bucket when there are many."""
+    """Counts of keys of a packet."""
 
-    def __init__(self, kind: int, bucket: Callable[[np.ndarray], np.ndarray], limit: int) -> None:
-        self.kind, self.bucket, self.limit = kind, bucket, limit
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held = self.tidy = 0
 
     def add(self, keys: np.ndarray, learn: bool) -> None:
         keys, n = np.unique(keys, return_counts=True)
         self.parts.append((keys, n * learn))
         self.held += len(keys)
+        if self.held - self.tidy > self.limit // 2:
+            self.pack()
 
-    def pack(self, least: int = 0) -> None:
-        if self.held > 2 * self.limit or not least:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True))) if self.parts else (np.empty(0, U64), np.empty(0, np.int64))
-            self.parts, self.held = [(keys, counts)], len(keys)
+    def pack(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True))) if self.parts else (np.empty(0, U64), np.empty(0, np.int64))
+        self.parts, self.held, self.tidy = [(keys, counts)], len(keys), len(keys)
+        return keys, counts
 
-    def send(self) -> Iterator[pa.RecordBatch]:
-        self.pack()
-        keys, counts = self.parts[0]
-        yield from packed(self.kind, self.bucket(keys), keys, counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64))
-        self.parts, self.held = [], 0
 
-
-SENT = "kind int, place long, keys binary, counts binary"
-
-
-def packed(kind: int, place: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row of bytes for each place: kind, place, keys and each of the values."""
+def packed(place: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """For each place: place, and bytes of its keys and of each of the values."""
     order = np.argsort(place, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0, [True]])) if len(keys) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         some = order[a:b]
-        row = [kind, int(place[some[0]]), keys[some].tobytes(), *(v[some].tobytes() for v in values)]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * (1 + len(values))]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["kind", "place", "keys", "counts", "more"][: len(row)])
+        yield int(place[some[0]]), keys[some].tobytes(), *(v[some].tobytes() for v in values)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
 
 
 def unpacked(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,32 +136,65 @@ def words_of(text: bytes) -> np.ndarray:
     return np.append(word_hashes(text.split()), END)
 
 
-def gathered(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Runs (kind 0) and words (kind 1) of all tasks by bucket, not yet summed across tasks."""
+RUN, WORD, DOC = 0, 1, 2
+SENT = "kind int, packet long, place long, keys binary, counts binary, doc_id long, held_out boolean, text binary"
 
-    def place(keys: np.ndarray) -> np.ndarray:
-        return (mix((keys >> U64(8)) & U64(0xFFFF)) % U64(tree.buckets)).astype(np.int64)
+
+def run_place(keys: np.ndarray, tree: Tree, thirds: int) -> np.ndarray:
+    """A run's bucket: the group of its last two context bytes, and a part of it by the third."""
+    return (mix((keys >> U64(8)) & U64(0xFFFF)) % U64(tree.buckets) * U64(thirds) + mix((keys >> U64(8)) & U64(0xFFFFFF)) % U64(thirds)).astype(np.int64)
+
+
+def gathered(docs: DataFrame, tree: Tree, thirds: int) -> DataFrame:
+    """Packets: their runs and words by bucket, and their documents, as modelled."""
+    fields = [(f.strip().split(" ")[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[f.strip().split(" ")[1]]) for f in SENT.split(",")]
+
+    def table(held: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in held], kind) for name, kind in fields], names=[name for name, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Gathered(0, place, tree.gather), Gathered(1, lambda k: (k % U64(tree.buckets)).astype(np.int64), tree.gather)
+        number, packet = 0, TaskContext.get().partitionId() << 32
+        kept, size = (Gathered(tree.gather), Gathered(tree.gather)), 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for kind, held in enumerate(kept):
+                keys, counts = held.pack()
+                place = run_place(keys, tree, thirds) if kind == RUN else (mix(keys) % U64(tree.buckets * thirds)).astype(np.int64)
+                for where, k, c in packed(place, keys, narrow(counts)):
+                    yield table([{"kind": kind, "packet": packet + number, "place": where, "keys": k, "counts": c}])
+
         for batch in batches:
             for group in groups(rows(batch, "doc_id", "text", "held_out")):
+                texts = [canonical(t) for _, t, _ in group]
                 for learn in (True, False):
-                    texts = [canonical(t) for _, t, h in group if h != learn]
-                    if texts:
-                        held[0].add(runs(texts, tree.depth)[0], learn)
-                        if learn:
-                            held[1].add(np.concatenate([words_of(t) for t in texts]), True)
-                for h in held:
-                    h.pack(1)
-                    if h.held > h.limit:
-                        yield from h.send()
-        for h in held:
-            yield from h.send()
+                    some = [t for t, (_, _, h) in zip(texts, group, strict=True) if h != learn]
+                    if some:
+                        kept[RUN].add(runs(some, tree.depth)[0], learn)
+                        kept[WORD].add(np.concatenate([words_of(t) for t in some]), learn)
+                size += sum(map(len, texts))
+                yield table([{"kind": DOC, "packet": packet + number, "doc_id": i, "held_out": h, "text": t} for t, (i, _, h) in zip(texts, group, strict=True)])
+                if kept[RUN].held > tree.gather or size > tree.packet_bytes:
+                    yield from send()
+                    number, size, kept = number + 1, 0, (Gathered(tree.gather), Gathered(tree.gather))
+        yield from send()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, SENT)
 
 
+def counted(sent: DataFrame, kind: int, salts: int) -> DataFrame:
+    """place, keys, counts: what packets sent to each place, summed in two steps where many meet."""
+
+    def work(table: pa.Table) -> pa.Table:
+        keys, counts = unpacked(table["keys"].to_pylist(), table["counts"].to_pylist())
+        return pa.table({"place": table["place"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([narrow(counts).tobytes()], pa.binary())})
+
+    held = sent.where(F.col("kind") == kind).select("place", "keys", "counts", F.pmod("packet", F.lit(salts)).alias("salt"))
+    schema = "place long, keys binary, counts binary"
+    if salts > 1:
+        held = held.groupBy("place", "salt").applyInArrow(work, schema)
+    return held.groupBy("place").applyInArrow(work, schema)
+
+
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov estimate of zeros and ones seen in some order."""
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - 2 * math.lgamma(0.5) - log_gamma(n0 + n1 + 1)
@@ -245,162 +278,151 @@ def mixed(keys: np.ndarray, found: list[Level], depth: int, p: np.ndarray, have:
     return p, have
 
 
-def weighed(sent: DataFrame, tree: Tree) -> DataFrame:
-    """Per bucket: runs with the mix of their contexts of two bytes or more (kind 0), contexts of one byte (kind 1)."""
+def weighed(counts: DataFrame, tree: Tree, thirds: int) -> DataFrame:
+    """Per bucket: runs with the mix of their contexts of three bytes or more (kind 0), contexts of two bytes (kind 1)."""
+    least = min(3, tree.depth)
 
-    def work(table: pa.Table) -> pa.Table:
-        keys, counts = unpacked(table["keys"].to_pylist(), table["counts"].to_pylist())
-        seen = counts > 0
-        found = levels(keys[seen], counts[seen], tree.depth, 2)
-        out = []
-        for at in range(0, len(keys), 1 << 16):
-            some = keys[at : at + (1 << 16)]
-            p, have = mixed(some, found, tree.depth, np.full((len(some), 8), 0.5), np.zeros((len(some), 8), bool))
-            out.append((0, len(some), some.tobytes(), p.astype(np.float32).tobytes(), np.packbits(have).tobytes()))
-        key, zeros, ones, deeper = found[-1].above(1)
-        out.append((1, len(key), key.tobytes(), np.stack([zeros, ones]).tobytes(), deeper.tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "n", "keys", "counts", "more"])
-
-    runs_ = sent.where("kind = 0").select("place", "keys", "counts")
-    return runs_.groupBy("place").applyInArrow(work, "kind int, n long, keys binary, counts binary, more binary")
-
-
-def root(weighed_: DataFrame) -> list[Level]:
-    """Contexts of one byte and of none, from all buckets; 256 * 255 nodes and 255 at most."""
-    parts = sorted((r.keys, r.counts, r.more) for r in weighed_.where("kind = 1").select("keys", "counts", "more").collect())
-    keys = np.frombuffer(b"".join(p[0] for p in parts), U64)
-    counts = np.concatenate([np.frombuffer(p[1], np.int64).reshape(2, -1) for p in parts], 1) if parts else np.empty((2, 0), np.int64)
-    one = Level.of(*collected(keys, counts[0], counts[1], np.frombuffer(b"".join(p[2] for p in parts), np.float64)))
-    return [one, Level.of(*one.above(0))]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        for batch in batches:
+            for place, keys, counts_ in rows(batch, "place", "keys", "counts"):
+                keys, counts_ = unpacked([keys], [counts_])
+                seen = counts_ > 0
+                found = levels(keys[seen], counts_[seen], tree.depth, least)
+                out = []
+                for at in range(0, len(keys), 1 << 16):
+                    some = keys[at : at + (1 << 16)]
+                    p, have = mixed(some, found, tree.depth, np.full((len(some), 8), 0.5), np.zeros((len(some), 8), bool))
+                    out.append((0, place, place // thirds, some.tobytes(), p.astype(np.float32).tobytes(), np.packbits(have).tobytes()))
+                key, zeros, ones, deeper = found[-1].above(2) if tree.depth > 2 else (found[-1].keys, found[-1].zeros, found[-1].ones, found[-1].weighted)
+                out.append((1, place, place // thirds, key.tobytes(), np.stack([zeros, ones]).tobytes(), deeper.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "place", "pair", "keys", "counts", "more"])
 
+    return counts.mapInArrow(work, "kind int, place long, pair long, keys binary, counts binary, more binary")
 
-@dataclass
-class Slice:
-    """Keys and values of a part of a table; a worker makes its hash table once."""
 
-    keys: np.ndarray
-    values: np.ndarray
-    ident: str
+def parts_of(keys: list[bytes], counts: list[bytes], more: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Nodes that buckets sent, those of a key together: keys, zeros, ones, sums of log products."""
+    n = [np.frombuffer(c, np.int64).reshape(2, -1) for c in counts] or [np.empty((2, 0), np.int64)]
+    n = np.concatenate(n, 1)
+    return collected(np.frombuffer(b"".join(keys), U64), n[0], n[1], np.frombuffer(b"".join(more), np.float64))
+
 
+def pairs(weighed_: DataFrame, tree: Tree) -> DataFrame:
+    """Per group of contexts of two bytes: their nodes (kind 0), and contexts of one byte (kind 1)."""
 
-_tables: dict[str, HashTable] = {}
+    def work(table: pa.Table) -> pa.Table:
+        parts = parts_of(*(table[c].to_pylist() for c in ("keys", "counts", "more")))
+        two = Level.of(*parts) if tree.depth > 2 else Level(*parts[:3], parts[3], np.ones(len(parts[0])))
+        key, zeros, ones, deeper = two.above(1)
+        out = [(0, two.keys.tobytes(), np.stack([two.zeros, two.ones]).tobytes(), two.alone.tobytes()), (1, key.tobytes(), np.stack([zeros, ones]).tobytes(), deeper.tobytes())]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        found = pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "keys", "counts", "more"])
+        return found.append_column("pair", pa.array([table["pair"][0].as_py()] * 2, pa.int64()))
 
+    return weighed_.where("kind = 1").select("pair", "keys", "counts", "more").groupBy("pair").applyInArrow(work, "kind int, keys binary, counts binary, more binary, pair long")
 
-def hash_table(part: Slice, role: str) -> HashTable:
-    if role not in _tables or _tables[role][0] != part.ident:
-        _tables.pop(role, None)
-        _tables[role] = part.ident, HashTable(part.keys, part.values)
-    return _tables[role][1]
+
+def root(pairs_: DataFrame) -> list[Level]:
+    """Contexts of one byte and of none, from all groups; 256 * 255 nodes and 255 at most."""
+    parts = sorted((r.keys, r.counts, r.more) for r in pairs_.where("kind = 1").select("keys", "counts", "more").collect())
+    one = Level.of(*parts_of(*map(list, zip(*parts, strict=True)))) if parts else Level.of(*parts_of([], [], []))
+    return [one, Level.of(*one.above(0))]
 
 
-def run_table(weighed_: DataFrame, tree: Tree, slices: int) -> DataFrame:
-    """log10 of the probability of every run, by slice."""
-    top = root(weighed_)
+def run_table(weighed_: DataFrame, pairs_: DataFrame, tree: Tree) -> DataFrame:
+    """place, keys, value: log10 of the probability of every run."""
+    top = root(pairs_)
+    nodes = pairs_.where("kind = 0").select("pair", F.col("keys").alias("nodes"), F.col("counts").alias("seen"), F.col("more").alias("alone"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, p, have in rows(batch, "keys", "counts", "more"):
+            for place, keys, p, have, node, seen, alone in rows(batch, "place", "keys", "counts", "more", "nodes", "seen", "alone"):
                 keys = np.frombuffer(keys, U64)
                 p = np.frombuffer(p, np.float32).reshape(-1, 8).astype(float)
                 have = np.unpackbits(np.frombuffer(have, np.uint8), count=8 * len(keys)).reshape(-1, 8).astype(bool)
+                if tree.depth > 2:
+                    seen = np.frombuffer(seen, np.int64).reshape(2, -1)
+                    two = Level(np.frombuffer(node, U64), seen[0], seen[1], seen[0], np.frombuffer(alone, np.float64))
+                    p, have = two.predict(*choices(keys, 2), p, have)
                 p, _ = mixed(keys, top, 1, p, have)
-                yield from packed(0, (mix(keys) % U64(slices)).astype(np.int64), keys, np.log10(p).sum(1).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([np.log10(p).sum(1).astype(np.float32).tobytes()], pa.binary())], names=["place", "keys", "value"])
 
-    return weighed_.where("kind = 0").select("keys", "counts", "more").mapInArrow(work, SENT)
+    return weighed_.where("kind = 0").join(nodes.hint("merge"), "pair").select("place", "keys", "counts", "more", "nodes", "seen", "alone").mapInArrow(work, "place long, keys binary, value binary")
 
 
-def word_table(sent: DataFrame, slices: int) -> DataFrame:
-    """Words to learn from and their counts, by slice (kind 1), and the sum of the counts (kind 2)."""
+def replies(sent: DataFrame, table: DataFrame, kind: int, value: str, salts: int) -> DataFrame:
+    """kind, packet, keys, value: what each packet asked for, from a table of (place, keys, value)."""
 
-    def work(table: pa.Table) -> pa.Table:
-        keys, counts = unpacked(table["keys"].to_pylist(), table["counts"].to_pylist())
-        found = list(packed(1, (mix(keys) % U64(slices)).astype(np.int64), keys, counts.astype(np.uint64)))
-        return pa.Table.from_batches([b.append_column("total", pa.array([int(np.frombuffer(b["counts"][0].as_py(), np.uint64).sum())])) for b in found])
-
-    return sent.where("kind = 1").select("place", "keys", "counts").groupBy("place").applyInArrow(work, SENT + ", total long")
+    def work(asked: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(asked):
+            return pa.table({"kind": pa.array([], pa.int32()), "packet": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
+        keys = np.frombuffer(b"".join(told["keys"].to_pylist()), U64)
+        values = np.frombuffer(b"".join(told["value"].to_pylist()), value)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [values[np.searchsorted(keys, np.frombuffer(k, U64))].tobytes() for k in asked["keys"].to_pylist()]
+        return pa.table({"kind": pa.array([kind] * len(found), pa.int32()), "packet": asked["packet"], "keys": asked["keys"], "value": pa.array(found, pa.binary())})
 
-
-def part_of(table: DataFrame, k: int, value: type) -> Slice:
-    """Slice ``k`` of a table on the driver; ``slice_rows`` bound it."""
-    held = table.where(F.col("place") == k).select("keys", "counts").toArrow()
-    return Slice(np.frombuffer(b"".join(held["keys"].to_pylist()), U64), np.frombuffer(b"".join(held["counts"].to_pylist()), value), uuid.uuid4().hex)
+    asked = sent.where(F.col("kind") == kind).select("packet", "place", "keys", F.pmod("packet", F.lit(salts)).alias("salt"))
+    told = table.select("place", "keys", "value", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
+    return asked.groupBy("place", "salt").cogroup(told.groupBy("place", "salt")).applyInArrow(work, "kind int, packet long, keys binary, value binary")
 
 
 def scored(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row (doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row (doc_id, text).
+
+    ``score`` is of the text as modelled: its words, A-Z lowered, between single spaces.
+    """
     tree = tree or Tree()
     docs = split_rows(docs, tree)
-    context = docs.sparkSession.sparkContext
-    sent = written(gathered(docs, tree), "runs")
-    held = written(weighed(sent, tree), "weighed")
-    n_runs = held.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    run_slices = max(1, math.ceil(n_runs / tree.slice_rows))
-    runs_ = written(run_table(held, tree, run_slices), "run-table")
-    n_words = sent.where("kind = 1").agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
-    word_slices = max(1, math.ceil(n_words / (4 * tree.slice_rows)))
-    words = written(word_table(sent, word_slices), "word-table")
-    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()
-    total, distinct = int(total), int(distinct) // 8
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    # a packet's runs are about a tenth of its bytes; contexts of one pair of bytes come in at most 256 parts
+    thirds = min(256, max(1, math.ceil(n_bytes / 10 / tree.bucket_rows / tree.buckets)))
+    sent = written(gathered(docs, tree, thirds), "packets")
+    most = dict(sent.where(F.col("kind") < DOC).groupBy("kind", "place").agg(F.sum(F.octet_length("keys").cast("long")).alias("n")).groupBy("kind").agg(F.max("n")).collect())
+    salts = {kind: max(1, math.ceil(most.get(kind, 0) / 8 / tree.bucket_rows)) for kind in (RUN, WORD)}
+    held = written(weighed(counted(sent, RUN, salts[RUN]), tree, thirds), "weighed")
+    two = written(pairs(held, tree), "pairs")
+    runs_ = written(run_table(held, two, tree), "run-table")
+    removed(held)
+    words = written(counted(sent, WORD, salts[WORD]).mapInArrow(wide, "place long, keys binary, value binary, total long, learned long"), "word-table")
+    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     unknown = -math.log10(total + distinct + 1)
+    got = replies(sent, runs_, RUN, "<f4", salts[RUN]).unionByName(replies(sent, words.select("place", "keys", "value"), WORD, "<u8", salts[WORD]))
 
-    def part(k: int) -> DataFrame:
-        run_part = part_of(runs_, k, np.float32) if k < run_slices else None
-        word_part = None
-        if k < word_slices:
-            word_part = part_of(words, k, np.uint64)
-            word_part.values = np.log10(word_part.values + 1.0) + unknown
-        shared = context.broadcast((run_part, word_part))
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            run_part, word_part = shared.value
-            for batch in batches:
-                for group in batch_groups(batch):
-                    texts = [canonical(g[3]) for g in group]
-                    score, base, known = np.zeros(len(group)), np.zeros(len(group)), np.zeros(len(group), np.int64)
-                    words_ = [words_of(t) for t in texts]
-                    if run_part is not None:
-                        keys, sizes = runs(texts, tree.depth)
-                        values = lookup(hash_table(run_part, "runs"), keys, k, run_slices, 0.0)
-                        score = np.add.reduceat(values, np.cumsum(sizes) - sizes, dtype=np.float64)
-                    if word_part is not None:
-                        sizes = np.array([len(w) for w in words_])
-                        keys = np.concatenate(words_)
-                        starts = np.cumsum(sizes) - sizes
-                        values = lookup(hash_table(word_part, "words"), keys, k, word_slices, unknown)
-                        base = np.add.reduceat(values, starts)
-                        known = np.add.reduceat((values > unknown + 1e-12) & (values < 0 if word_slices > 1 else True), starts, dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([g[0] for g in group], pa.int64()), "h": pa.array([g[1] for g in group], pa.int64()), "held_out": pa.array([g[2] for g in group], pa.bool_()),
-                        "n_tokens": np.array([len(w) for w in words_], np.int64), "n_bytes": np.array([len(t) for t in texts], np.int64), "n_known": known, "base_score": base, "score": score,
-                    })
-
-        return docs.withColumn("h", F.xxhash64("text")).select("doc_id", "h", "held_out", "text").mapInArrow(work, "doc_id long, h long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double")
-
-    n = max(run_slices, word_slices)
-    found = part(0)
-    if n > 1:
-        for k in range(1, n):
-            found = found.union(part(k))
-        found = written(found, "partial-scores").groupBy("doc_id", "h", "held_out", "n_tokens", "n_bytes")
-        found = found.agg(F.count("*").alias("m"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-        found = found.withColumn("m", F.col("m") / n).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))))
-        found = found.select("doc_id", "held_out", "n_tokens", "n_bytes", (F.col("n_known") / F.col("m")).cast("long").alias("n_known"), (F.col("base_score") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+    def score(documents: pa.Table, told: pa.Table) -> pa.Table:
+        tables = []
+        for kind, value in ((RUN, "<f4"), (WORD, "<u8")):
+            own = told.filter(pc.equal(told["kind"], kind))
+            tables.append(HashTable(np.frombuffer(b"".join(own["keys"].to_pylist()), U64), np.frombuffer(b"".join(own["value"].to_pylist()), value)))
+        out = []
+        for group in groups((i, t, h) for i, t, h in zip(documents["doc_id"].to_pylist(), documents["text"].to_pylist(), documents["held_out"].to_pylist(), strict=True)):
+            texts = [t for _, t, _ in group]
+            keys, sizes = runs(texts, tree.depth)
+            scores = np.add.reduceat(tables[0].get(keys, 0.0), np.cumsum(sizes) - sizes, dtype=np.float64)
+            words_ = [words_of(t) for t in texts]
+            sizes = np.array([len(w) for w in words_])
+            counts = tables[1].get(np.concatenate(words_), 0).astype(float)
+            starts = np.cumsum(sizes) - sizes
+            base = np.add.reduceat(np.log10(counts + 1.0) + unknown, starts)
+            known = np.add.reduceat(counts > 0, starts, dtype=np.int64)
+            out.append(pa.table({
+                "doc_id": pa.array([i for i, _, _ in group], pa.int64()), "held_out": pa.array([h for _, _, h in group], pa.bool_()), "n_tokens": sizes,
+                "n_bytes": np.array([len(t) for t in texts], np.int64), "n_known": known, "base_score": base, "score": scores,
+            }))
+        return pa.concat_tables(out) if out else documents.schema.empty_table().select([])
+
+    documents = sent.where(F.col("kind") == DOC).select("packet", "doc_id", "held_out", "text")
+    found = documents.groupBy("packet").cogroup(got.groupBy("packet")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double")
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
-def batch_groups(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
-    """Groups of (doc_id, h, held_out, text)."""
-    for group in groups((i, t, h, out) for i, h, out, t in rows(batch, "doc_id", "h", "held_out", "text")):
-        yield [(i, h, out, t) for i, t, h, out in group]
-
-
-def lookup(table: HashTable, keys: np.ndarray, k: int, slices: int, default: float) -> np.ndarray:
-    """Values of the keys of slice ``k``, 0 for those of other slices."""
-    if slices == 1:
-        return table.get(keys, default)
-    own = mix(keys) % U64(slices) == k
-    out = np.zeros(len(keys), table.values.dtype)
-    out[own] = table.get(keys[own], default)
-    return out
+def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' counts as 64-bit values, with their sum and the number of those to learn from."""
+    for batch in batches:
+        for place, keys, counts in rows(batch, "place", "keys", "counts"):
+            keys, counts = unpacked([keys], [counts])
+            held = {"place": [place], "keys": pa.array([keys.tobytes()], pa.binary()), "value": pa.array([counts.astype("<u8").tobytes()], pa.binary())}
+            yield pa.RecordBatch.from_pydict(held | {"total": [int(counts.sum())], "learned": [int((counts > 0).sum())]})

@@ -98,7 +98,13 @@ def texts():
 def test_scores_match_dictionaries(spark):
     data = [*texts(), (100, None), (101, ""), (7, "again"), (7, "again"), (None, "no id"), (102, "zz \x00 nul")]
     check(spark, data, Tree(depth=3, buckets=5))
-    check(spark, data, Tree(depth=2, buckets=3, slice_rows=300, gather=50))
+    check(spark, data, Tree(depth=2, buckets=3, bucket_rows=300, gather=50))
+
+
+def test_scores_of_the_registered_depth_with_parted_buckets(spark):
+    data = [*texts()[:30], (100, None), (7, "again"), (7, "again")]
+    check(spark, data, Tree(depth=Tree().depth, buckets=4, bucket_rows=5, gather=60))
+    check(spark, data, Tree(depth=Tree().depth))
 
 
 def test_empty_and_held_out_tables(spark):
