@@ -40,7 +40,6 @@ class Training:
     held_out: int = 1
     #: Share of the calibration texts that are not rejected.
     reject: float = 0.995
-    max_langs: int = 400
     #: Rows of scores that a Python worker keeps are 2 ** this for one language, and fewer for more.
     table_bits: int = 23
 
@@ -156,8 +155,6 @@ def fit(docs: DataFrame, training: Training) -> Models | None:
     if not len(counts):
         return None
     langs = sorted(counts.lang.unique())
-    if len(langs) > training.max_langs:
-        raise ValueError(f"more than {training.max_langs} languages")
     models = []
     for lang in langs:
         own = counts[counts.lang == lang]

@@ -1,8 +1,9 @@
 """URL filters: host and path rules, then association rules mined by Spark's FP-growth.
 
 Every labelled URL is a transaction: its tokens and, if its document is bad, the item ``=bad``. Rules whose
-consequent is that item stay if enough URLs support them and their confidence and lift are high enough; a rule goes if
-one with fewer tokens has at least its confidence. Rules are matched by an inverted index: each stands under its
+consequent is that item stay if enough URLs support them, if their confidence is high enough even at the lower end of
+its Wilson interval, and if their lift is; a rule goes if one with fewer tokens has at least its confidence. Where
+labels have nothing to do with URLs no rule stays, and only the given rules block. Rules are matched by an inverted index: each stands under its
 rarest token, and only the rules under a URL's own tokens are looked at.
 
 Rows: a null URL, or one without ``://``, has an empty host and path; a null one has no tokens. Every row is judged by
@@ -17,14 +18,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.text import rows
+from kindred.llm.text import rows, written
 
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,8 +35,12 @@ WORD = re.compile(r"[a-z0-9]+")
 class Mining:
     #: Labelled URLs learned from, about this many by a hash of their id.
     train_urls: int = 200_000
-    min_urls: int = 50
-    min_confidence: float = 0.5
+    #: A rule is supported by so many bad URLs, and by this share of all that are learned from.
+    min_urls: int = 10
+    min_share: float = 0.0002
+    min_confidence: float = 0.7
+    #: Standard deviations between a confidence and the lower end of its interval, which has to reach the least one.
+    z: float = 1.96
     min_lift: float = 1.5
     #: Rules that a task holds at a time; more are matched in further passes.
     slice_rules: int = 50_000
@@ -90,21 +94,29 @@ def transactions(pages: DataFrame, labels: DataFrame, mining: Mining) -> DataFra
     return some.select("url", "bad").mapInArrow(run, "items array<string>")
 
 
+def wilson(share: Column, n: Column, z: float) -> Column:
+    """Lower end of the Wilson interval of a share of ``n``."""
+    middle = share + z * z / 2 / n
+    return (middle - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
 def mined_rules(items: DataFrame, mining: Mining) -> DataFrame:
     """antecedent array<string>, confidence, lift, support of the rules for ``=bad`` that stay."""
     spark = items.sparkSession
-    items = items.cache()
+    items = written(items, "transactions")
     total = items.count()
     bad = items.where(F.array_contains("items", BAD)).count()
     schema = "antecedent array<string>, confidence double, lift double, support double"
     if not bad or bad == total:
-        items.unpersist()
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, mining.min_urls / total), minConfidence=mining.min_confidence).fit(items)
+    least = max(mining.min_urls / total, mining.min_share)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=mining.min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= mining.min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support").cache()
-    subsets = F.udf(lambda a: [list(s) for n in range(1, len(a)) for s in combinations(a, n)], "array<array<string>>")
-    parts = rules.select("antecedent", "confidence", F.explode(subsets("antecedent")).alias("part"))
+    rules = rules.where(wilson(F.col("confidence"), F.col("support") / F.col("confidence") * total, mining.z) >= mining.min_confidence)
+    rules = written(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support"), "rules")
+    none = F.array(F.array().cast("array<string>"))
+    subsets = F.aggregate("antecedent", none, lambda held, t: F.concat(held, F.transform(held, lambda s: F.array_append(s, t))))
+    parts = rules.select("antecedent", "confidence", F.explode(subsets).alias("part")).where("0 < size(part) and size(part) < size(antecedent)")
     shorter = rules.selectExpr("antecedent part", "confidence least")
     worse = parts.join(shorter, "part").where("least >= confidence").select("antecedent").distinct()
     return rules.join(worse, "antecedent", "left_anti")
