@@ -102,13 +102,23 @@ class Gathered:
         return keys, counts
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys byte by byte, all first bytes first: sorted keys are then long runs, which compress well."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unfolded(held: list[bytes]) -> np.ndarray:
+    """The keys of several ``planes``, one after the other."""
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(8, -1).T).view(U64).ravel() for k in held]) if held else np.empty(0, U64)
+
+
 def packed(place: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """For each place: place, and bytes of its keys and of each of the values."""
+    """For each place: place, the planes of its keys, and bytes of each of the values."""
     order = np.argsort(place, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0, [True]])) if len(keys) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         some = order[a:b]
-        yield int(place[some[0]]), keys[some].tobytes(), *(v[some].tobytes() for v in values)
+        yield int(place[some[0]]), planes(keys[some]), *(v[some].tobytes() for v in values)
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
@@ -117,7 +127,7 @@ def narrow(counts: np.ndarray) -> np.ndarray:
 
 def unpacked(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and the sums of their counts, which are as wide as their bytes tell."""
-    parts = [(np.frombuffer(k, U64), np.frombuffer(c, np.uint32 if 2 * len(c) == len(k) else np.uint64).astype(np.int64)) for k, c in zip(keys, counts, strict=True)]
+    parts = [(unfolded([k]), np.frombuffer(c, np.uint32 if 2 * len(c) == len(k) else np.uint64).astype(np.int64)) for k, c in zip(keys, counts, strict=True)]
     return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -186,7 +196,7 @@ def counted(sent: DataFrame, kind: int, salts: int) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         keys, counts = unpacked(table["keys"].to_pylist(), table["counts"].to_pylist())
-        return pa.table({"place": table["place"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([narrow(counts).tobytes()], pa.binary())})
+        return pa.table({"place": table["place"][:1], "keys": pa.array([planes(keys)], pa.binary()), "counts": pa.array([narrow(counts).tobytes()], pa.binary())})
 
     held = sent.where(F.col("kind") == kind).select("place", "keys", "counts", F.pmod("packet", F.lit(salts)).alias("salt"))
     schema = "place long, keys binary, counts binary"
@@ -293,7 +303,7 @@ def weighed(counts: DataFrame, tree: Tree, thirds: int) -> DataFrame:
                 for at in range(0, len(keys), 1 << 16):
                     some = keys[at : at + (1 << 16)]
                     p, have = mixed(some, found, tree.depth, np.full((len(some), 8), 0.5), np.zeros((len(some), 8), bool))
-                    out.append((0, place, place // thirds, some.tobytes(), p.astype(np.float32).tobytes(), np.packbits(have).tobytes()))
+                    out.append((0, place, place // thirds, planes(some), p.astype(np.float32).tobytes(), np.packbits(have).tobytes()))
                 key, zeros, ones, deeper = found[-1].above(2) if tree.depth > 2 else (found[-1].keys, found[-1].zeros, found[-1].ones, found[-1].weighted)
                 out.append((1, place, place // thirds, key.tobytes(), np.stack([zeros, ones]).tobytes(), deeper.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "place", "pair", "keys", "counts", "more"])
@@ -338,7 +348,7 @@ def run_table(weighed_: DataFrame, pairs_: DataFrame, tree: Tree) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, keys, p, have, node, seen, alone in rows(batch, "place", "keys", "counts", "more", "nodes", "seen", "alone"):
-                keys = np.frombuffer(keys, U64)
+                keys = unfolded([keys])
                 p = np.frombuffer(p, np.float32).reshape(-1, 8).astype(float)
                 have = np.unpackbits(np.frombuffer(have, np.uint8), count=8 * len(keys)).reshape(-1, 8).astype(bool)
                 if tree.depth > 2:
@@ -346,7 +356,7 @@ def run_table(weighed_: DataFrame, pairs_: DataFrame, tree: Tree) -> DataFrame:
                     two = Level(np.frombuffer(node, U64), seen[0], seen[1], seen[0], np.frombuffer(alone, np.float64))
                     p, have = two.predict(*choices(keys, 2), p, have)
                 p, _ = mixed(keys, top, 1, p, have)
-                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([np.log10(p).sum(1).astype(np.float32).tobytes()], pa.binary())], names=["place", "keys", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([planes(keys)], pa.binary()), pa.array([np.log10(p).sum(1).astype(np.float32).tobytes()], pa.binary())], names=["place", "keys", "value"])
 
     return weighed_.where("kind = 0").join(nodes.hint("merge"), "pair").select("place", "keys", "counts", "more", "nodes", "seen", "alone").mapInArrow(work, "place long, keys binary, value binary")
 
@@ -357,11 +367,11 @@ def replies(sent: DataFrame, table: DataFrame, kind: int, value: str, salts: int
     def work(asked: pa.Table, told: pa.Table) -> pa.Table:
         if not len(asked):
             return pa.table({"kind": pa.array([], pa.int32()), "packet": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
-        keys = np.frombuffer(b"".join(told["keys"].to_pylist()), U64)
+        keys = unfolded(told["keys"].to_pylist())
         values = np.frombuffer(b"".join(told["value"].to_pylist()), value)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        found = [values[np.searchsorted(keys, np.frombuffer(k, U64))].tobytes() for k in asked["keys"].to_pylist()]
+        found = [values[np.searchsorted(keys, unfolded([k]))].tobytes() for k in asked["keys"].to_pylist()]
         return pa.table({"kind": pa.array([kind] * len(found), pa.int32()), "packet": asked["packet"], "keys": asked["keys"], "value": pa.array(found, pa.binary())})
 
     asked = sent.where(F.col("kind") == kind).select("packet", "place", "keys", F.pmod("packet", F.lit(salts)).alias("salt"))
@@ -395,7 +405,7 @@ def scored(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
         tables = []
         for kind, value in ((RUN, "<f4"), (WORD, "<u8")):
             own = told.filter(pc.equal(told["kind"], kind))
-            tables.append(HashTable(np.frombuffer(b"".join(own["keys"].to_pylist()), U64), np.frombuffer(b"".join(own["value"].to_pylist()), value)))
+            tables.append(HashTable(unfolded(own["keys"].to_pylist()), np.frombuffer(b"".join(own["value"].to_pylist()), value)))
         out = []
         for group in groups((i, t, h) for i, t, h in zip(documents["doc_id"].to_pylist(), documents["text"].to_pylist(), documents["held_out"].to_pylist(), strict=True)):
             texts = [t for _, t, _ in group]
@@ -424,5 +434,5 @@ def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for place, keys, counts in rows(batch, "place", "keys", "counts"):
             keys, counts = unpacked([keys], [counts])
-            held = {"place": [place], "keys": pa.array([keys.tobytes()], pa.binary()), "value": pa.array([counts.astype("<u8").tobytes()], pa.binary())}
+            held = {"place": [place], "keys": pa.array([planes(keys)], pa.binary()), "value": pa.array([counts.astype("<u8").tobytes()], pa.binary())}
             yield pa.RecordBatch.from_pydict(held | {"total": [int(counts.sum())], "learned": [int((counts > 0).sum())]})
