@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.cluster import written
 from kindred.operators.graph import ordered_pair
 
 
@@ -49,37 +50,39 @@ def permuted(hash_: Column, bits: int, round_: int) -> Column:
     return F.concat(*[F.substring(hash_, i, 1) for i in permutation(bits, round_)])
 
 
-def neighbours(df: DataFrame, order: list[str], n: int, by: list[str]) -> DataFrame:
-    """(by, a, b): each row's ``n`` followers in the order within its group, which is each unordered pair once.
+def all_permuted(hashed: DataFrame, bits: int, rounds: int) -> DataFrame:
+    """Every row once for each round, with the ``_h`` of that round's permutation."""
+    orders = F.array(*[F.lit(" ".join(map(str, permutation(bits, r)))) for r in range(rounds)])
+    each = hashed.select("*", F.posexplode(orders).alias("_round", "_order"))
+    return each.withColumn("_h", F.array_join(F.transform(F.split("_order", " "), lambda i: F.substr("hash", i.cast("int"), F.lit(1))), "")).drop("_order")
+
+
+def numbered(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """``df`` with ``_i``, each row's place from 0 on within its group, in the order and then by id.
 
-    Give a column of states, blocks or ranges in ``by``: a group is sorted in one task.
+    Rows are sorted by ranges over all groups; a range's part of a group tells its offset. So no task sees a group.
     """
-    w = Window.partitionBy(*by).orderBy(*order, "id").rowsBetween(1, n)
-    held = df.withColumn("_next", F.collect_list("id").over(w))
-    return held.select(*by, "id", F.explode("_next").alias("_b")).select(*by, *ordered_pair("id", "_b"))
+    held = df.repartitionByRange(*by, *order, "id").sortWithinPartitions(*by, *order, "id")
+    held = written(held.withColumn("_m", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_m", 33))
+    parts = held.groupBy(*by, "_p").agg(F.min("_m").alias("_low"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_low", F.col("_low") - F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return held.join(parts, [*by, "_p"]).withColumn("_i", F.col("_m") - F.col("_low")).drop("_m", "_p", "_low")
 
 
-def range_neighbours(df: DataFrame, order: str, n: int, ranges: int) -> DataFrame:
-    """(a, b) over one order of all rows: ranges of the order are sorted apart, with the first rows of the ranges after.
+def neighbours(df: DataFrame, order: list[str], n: int, by: list[str], block: int = 256) -> DataFrame:
+    """(by, a, b): each row's ``n`` followers in the order within its group, which is each unordered pair once.
 
-    The range bounds are quantiles of a hash-derived number in order; a range's last rows meet the first ``n`` rows
-    that follow in later ranges, which are sent along.
+    The order is cut into blocks of equal size, each with the first ``n`` rows of the next, whatever the size of a
+    group and however many rows are equal.
     """
-    sized = df.select("id", F.col(order).alias("o"))
-    cuts = sized.select(F.expr("conv(substr(o, 1, 12), 2, 10)").cast("double").alias("x"))
-    bounds = sorted(set(cuts.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.001))) if ranges > 1 else []
-    x = F.expr("conv(substr(o, 1, 12), 2, 10)").cast("double")
-    where = F.lit(0)
-    for b in bounds:
-        where = where + F.when(x > b, 1).otherwise(0)
-    placed = sized.withColumn("r", where)
-    w = Window.partitionBy("r").orderBy("o", "id")
-    heads = placed.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
-    halo = heads.select("id", "o", F.explode(F.sequence(F.greatest(F.lit(0), F.col("r") - n), F.greatest(F.lit(0), F.col("r") - 1))).alias("r"), F.lit(1).alias("extra"), F.col("r").alias("home")).where("r < home").drop("home")
-    both = placed.withColumn("extra", F.lit(0)).unionByName(halo)
-    ahead = Window.partitionBy("r").orderBy("o", "id").rowsBetween(1, n)
-    found = both.withColumn("_next", F.collect_list("id").over(ahead)).where("extra = 0")
-    return found.select("id", F.explode("_next").alias("_b")).select(*ordered_pair("id", "_b"))
+    block = max(block, n)
+    placed = numbered(df.select(*by, "id", *order), order, by).select(*by, "id", "_i")
+    own = placed.selectExpr(*by, "id", "_i", f"_i div {block} _block", "false _extra")
+    halo = placed.where(f"_i >= {block} and _i % {block} < {n}").selectExpr(*by, "id", "_i", f"_i div {block} - 1 _block", "true _extra")
+    ahead = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(1, n)
+    found = own.union(halo).withColumn("_next", F.collect_list("id").over(ahead)).where("not _extra")
+    return found.select(*by, "id", F.explode("_next").alias("_b")).select(*by, *ordered_pair("id", "_b"))
 
 
 def hash_runs(df: DataFrame, hash_: str, by: list[str]) -> DataFrame:
@@ -92,21 +95,12 @@ def hash_runs(df: DataFrame, hash_: str, by: list[str]) -> DataFrame:
 
 
 def candidate_pairs(hashed: DataFrame, bits: int, rounds: int, n: int, by: list[str]) -> DataFrame:
-    """(a, b, count): pairs that are neighbours under several permutations of the bits, with how many."""
-    found = None
-    for r in range(rounds):
-        own = neighbours(hashed.withColumn("_h", permuted(F.col("hash"), bits, r)), ["_h"], n, by).select("a", "b")
-        found = own if found is None else found.union(own)
-    return found.groupBy("a", "b").agg(F.count("*").alias("count"))
-
-
-def national_pairs(hashed: DataFrame, bits: int, rounds: int, n: int, ranges: int) -> DataFrame:
-    """The same over one order of all rows for each permutation."""
-    found = None
-    for r in range(rounds):
-        own = range_neighbours(hashed.withColumn("_h", permuted(F.col("hash"), bits, r)), "_h", n, ranges)
-        found = own if found is None else found.union(own)
-    return found.groupBy("a", "b").agg(F.count("*").alias("count"))
+    """(a, b, count): pairs that are neighbours under several permutations of the bits, with how many.
+
+    ``by``: groups in which neighbours are looked for; none for one order of all rows.
+    """
+    each = all_permuted(hashed.select("id", *by, "hash"), bits, rounds)
+    return neighbours(each, ["_h"], n, ["_round", *by]).groupBy("a", "b").agg(F.count("*").alias("count"))
 
 
 def identity_pairs(pairs: DataFrame, identities: DataFrame, least: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from kindred.cluster import written
@@ -17,7 +19,23 @@ from kindred.plans.registry import query
 from kindred.plans.scalar_queries import bad_sql, sorted_sql, tokens_sql
 from kindred.sources.bridge import KNOWN, VARIANTS, contrib, known_names, table, variants
 
-BITS = 16
+
+
+@dataclass(frozen=True)
+class Search:
+    """How candidates are looked for, per state and over all states."""
+
+    bits: int = 60
+    rounds: int = 20
+    #: Followers in hash order, half of the neighbourhood of 40, and in name order, half of 100.
+    near: int = 20
+    near_names: int = 50
+    national_rounds: int = 40
+    national_near: int = 10
+
+
+SEARCH = Search()
+BITS, ROUNDS = SEARCH.bits, SEARCH.rounds
 
 
 # --- hashes and neighbours
@@ -67,42 +85,44 @@ def bit_permute(spark, sf_dir):
     return hashed(spark, sf_dir).select("id", L.permuted(F.col("hash"), BITS, 3).alias("hash"))
 
 
-@query("neighbours", f"{WITH}, {HASH}, {next_sql('hashed', 'hash', 3)} select STATE, a, b from nb")
+@query("neighbours", f"{WITH}, {HASH}, {next_sql('hashed', 'hash', SEARCH.near)} select STATE, a, b from nb")
 def neighbours(spark, sf_dir):
-    return L.neighbours(hashed(spark, sf_dir), ["hash"], 3, ["STATE"])
+    return L.neighbours(hashed(spark, sf_dir), ["hash"], SEARCH.near, ["STATE"])
 
 
-@query("name_neighbours", f"{WITH}, {next_sql('members', 'NAME', 5)} select STATE, a, b from nb")
+@query("name_neighbours", f"{WITH}, {next_sql('members', 'NAME', SEARCH.near_names)} select STATE, a, b from nb")
 def name_neighbours(spark, sf_dir):
-    return L.neighbours(members(spark, sf_dir), ["NAME"], 5, ["STATE"])
+    return L.neighbours(members(spark, sf_dir), ["NAME"], SEARCH.near_names, ["STATE"])
 
 
-@query("nat_neighbours", f"{WITH}, {HASH}, h as (select *, 1 as one from hashed), {next_sql('h', 'hash', 3, 'one')} select a, b from nb")
+@query("nat_neighbours", f"{WITH}, {HASH}, h as (select *, 1 as one from hashed), {next_sql('h', 'hash', SEARCH.national_near, 'one')} select a, b from nb")
 def nat_neighbours(spark, sf_dir):
-    """Neighbours over all states, by ranges of the hash with a halo."""
-    return L.range_neighbours(hashed(spark, sf_dir), "hash", 3, 6)
+    """Neighbours over one order of all states."""
+    return L.neighbours(hashed(spark, sf_dir), ["hash"], SEARCH.national_near, [])
+
+
+RUNS = "rr as (select *, case when hash=lag(hash) over (partition by STATE order by id) then 0 else 1 end as nw from hashed), rg as (select *, sum(nw) over (partition by STATE order by id rows unbounded preceding) as run from rr), rf as (select STATE, run, min(id) as a from rg group by all having count(*)>1), runs as (select rf.a, rg.id as b from rg join rf using (STATE, run) where rg.id>rf.a)"
 
 
-@query("hash_runs", f"{WITH}, {HASH}, r as (select *, case when hash=lag(hash) over (partition by STATE order by id) then 0 else 1 end as nw from hashed), g as (select *, sum(nw) over (partition by STATE order by id rows unbounded preceding) as run from r), f as (select STATE, run, min(id) as a from g group by all having count(*)>1) select f.a, g.id as b from g join f using (STATE, run) where g.id>f.a")
+@query("hash_runs", f"{WITH}, {HASH}, {RUNS} select a, b from runs")
 def hash_runs(spark, sf_dir):
     return L.hash_runs(hashed(spark, sf_dir), "hash", ["STATE"])
 
 
-ROUNDS = 4
-CAND = ", ".join(f"p{r} as (select id, STATE, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', 3, out=f'n{r}')}" for r in range(ROUNDS))
+CAND = ", ".join(f"p{r} as (select id, STATE, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', SEARCH.near, out=f'n{r}')}" for r in range(ROUNDS))
 CAND += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f"select a, b from n{r}" for r in range(ROUNDS)) + ") x group by a, b)"
-NAT = ", ".join(f"p{r} as (select id, 1 as one, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', 3, 'one', out=f'n{r}')}" for r in range(ROUNDS))
-NAT += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f"select a, b from n{r}" for r in range(ROUNDS)) + ") x group by a, b)"
+NAT = ", ".join(f"p{r} as (select id, 1 as one, {perm_sql(r)} as h from hashed), {next_sql(f'p{r}', 'h', SEARCH.national_near, 'one', out=f'n{r}')}" for r in range(SEARCH.national_rounds))
+NAT += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f"select a, b from n{r}" for r in range(SEARCH.national_rounds)) + ") x group by a, b)"
 IDP = "idn as (select id, concat(STATE,'|',NAME) as identity from members), idp as (select least(x.identity,y.identity) as identity1, greatest(x.identity,y.identity) as identity2, cast(sum(count) as bigint) as count from cand join idn x on x.id=cand.a join idn y on y.id=cand.b where x.identity<>y.identity group by 1, 2)"
 
 
 def candidates(spark, sf_dir):
-    return L.candidate_pairs(hashed(spark, sf_dir), BITS, ROUNDS, 3, ["STATE"])
+    return L.candidate_pairs(hashed(spark, sf_dir), BITS, ROUNDS, SEARCH.near, ["STATE"])
 
 
 def national(spark, sf_dir):
     """Candidates over all states, which pairs of identities are drawn from."""
-    return L.national_pairs(hashed(spark, sf_dir), BITS, ROUNDS, 3, 6)
+    return L.candidate_pairs(hashed(spark, sf_dir), BITS, SEARCH.national_rounds, SEARCH.national_near, [])
 
 
 @query("candidate_pairs", f"{WITH}, {HASH}, {CAND} select a, b, count from cand where count>1")
@@ -125,10 +145,12 @@ def candidate_topn(spark, sf_dir):
     return L.top_pairs(L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir)), 100)
 
 
-@query("stage1_pairs", f"{WITH}, {HASH}, {CAND}, {next_sql('members', 'NAME', 5)} select a, b from cand union select a, b from nb")
+@query("stage1_pairs", f"{WITH}, {HASH}, {CAND}, {RUNS}, {next_sql('members', 'NAME', SEARCH.near_names)} select a, b from cand union select a, b from runs union select a, b from nb")
 def stage1_pairs(spark, sf_dir):
-    names = L.neighbours(members(spark, sf_dir), ["NAME"], 5, ["STATE"]).select("a", "b")
-    return candidates(spark, sf_dir).select("a", "b").union(names).distinct()
+    """What stage 1 compares: runs of equal hashes, neighbours in name order and in the order of permuted hashes."""
+    h = hashed(spark, sf_dir)
+    names = L.neighbours(members(spark, sf_dir), ["NAME"], SEARCH.near_names, ["STATE"]).select("a", "b")
+    return L.candidate_pairs(h, BITS, ROUNDS, SEARCH.near, ["STATE"]).select("a", "b").union(L.hash_runs(h, "hash", ["STATE"])).union(names).distinct()
 
 
 # --- comparisons
