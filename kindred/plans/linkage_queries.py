@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import functions as F
 
 from kindred.cluster import written
@@ -13,6 +11,7 @@ from kindred.operators import compare as C
 from kindred.operators import graph as G
 from kindred.operators import identity as I
 from kindred.operators import lsh as L
+from kindred.operators import stages as S
 from kindred.operators import tokens as K
 from kindred.plans.graph_queries import DOM, FIELD_TOK, NAME_TOK, PERSON_TOK, WITH, members
 from kindred.plans.registry import query
@@ -21,20 +20,7 @@ from kindred.sources.bridge import KNOWN, VARIANTS, contrib, known_names, table,
 
 
 
-@dataclass(frozen=True)
-class Search:
-    """How candidates are looked for, per state and over all states."""
-
-    bits: int = 60
-    rounds: int = 20
-    #: Followers in hash order, half of the neighbourhood of 40, and in name order, half of 100.
-    near: int = 20
-    near_names: int = 50
-    national_rounds: int = 40
-    national_near: int = 10
-
-
-SEARCH = Search()
+SEARCH = S.Search()
 BITS, ROUNDS = SEARCH.bits, SEARCH.rounds
 
 
@@ -376,6 +362,23 @@ def full_adjacency(spark, sf_dir):
     return I.full_adjacency(members(spark, sf_dir).select("id", "identity"))
 
 
+def lookups(spark):
+    return S.Lookups(variants(spark), known_names(spark))
+
+
+@query("stage1_identities")
+def stage1_identities(spark, sf_dir):
+    """Stage 1 end to end, with all constants; tested in tests/test_stages.py."""
+    return S.stage1(members(spark, sf_dir).drop("identity"), lookups(spark))[0]
+
+
+@query("stage2_verdicts")
+def stage2_verdicts(spark, sf_dir):
+    """Stage 2 end to end on stage 1's identities, with calibrated sets; tested in tests/test_stages.py."""
+    m = members(spark, sf_dir).drop("identity")
+    return S.stage2(m.join(S.stage1(m, lookups(spark))[0], "id"), lookups(spark))
+
+
 # --- linked identities: pairs of customers' names across nations, with synthetic codes
 
 ADJ = """cu as (select c_custkey as k, c_nationkey as s, c_name as nm from customer), adj0 as (select concat('P',x.k % 60) as i1, concat('P',(x.k*7+x.k//60) % 60) as i2,
