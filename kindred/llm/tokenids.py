@@ -6,8 +6,8 @@
 3. Documents are range-partitioned and sorted by doc_id; every partition writes its chunks (see huffman.py) as the
    rows of a Parquet file, so that any store that Spark writes to will do and a lost task is done again.
 
-Rows: a null text is empty and has the end id alone. Rows with the same doc_id follow one another, those without
-doc_id come first. Extra columns are not read.
+Rows: a null text is empty and has the end id alone. Rows with the same doc_id follow one another, by a hash of their
+ids, those without doc_id come first. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -209,7 +209,8 @@ def write_ids(docs: DataFrame, path: str, output: Output | None = None) -> None:
         if held:
             yield close()
 
-    sorted_ = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id, or without one, are told apart by a hash, so that they may fill several shards
+    sorted_ = ids.where("ids is not null").select("doc_id", F.xxhash64("ids").alias("h"), "ids").repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
     sorted_.mapInArrow(run, "shard long, number long, n_ids long, chunk binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
 
@@ -217,10 +218,12 @@ def read_chunks(spark: SparkSession, path: str, each: Callable[[list, np.ndarray
     """Apply ``each`` to every chunk's doc_ids, sizes, ids and the ids of all shards and chunks before it."""
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first().lengths, np.uint8)
     chunks = spark.read.schema("shard long, number long, n_ids long, chunk binary").parquet(f"{path}/chunks")
-    before, starts = 0, {}
-    for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():  # a row for each shard
-        starts[r.shard] = before
-        before += r.n
+    # one number for each shard, that is for about 8 million ids
+    sizes = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    held = np.zeros(max((r.shard for r in sizes), default=0) + 2, np.int64)
+    for r in sizes:
+        held[r.shard + 1] = r.n
+    starts = spark.sparkContext.broadcast(np.cumsum(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _encoders.clear()
@@ -228,7 +231,7 @@ def read_chunks(spark: SparkSession, path: str, each: Callable[[list, np.ndarray
         for batch in batches:
             for shard, chunk in rows(batch, "shard", "chunk"):
                 doc_ids, sizes, ids, inside = unpack(code, chunk)
-                yield pa.RecordBatch.from_pydict(each(doc_ids, sizes, ids, starts[shard] + inside))
+                yield pa.RecordBatch.from_pydict(each(doc_ids, sizes, ids, int(starts.value[shard]) + inside))
 
     return chunks.select("shard", "chunk").mapInArrow(run, schema)
 
