@@ -182,3 +182,9 @@ def street_line_or_box(text: Column | str, suffixes: dict[str, str] | None = Non
     text = F.col(text) if isinstance(text, str) else text
     own = (text == "") | text.rlike(f"(?i)^({BOX})")
     return F.when(own, text).otherwise(_let(street_line(text, suffixes), lambda line: F.when(F.length(line) < 5, text).otherwise(line)))
+
+
+def house_line(text: Column | str, suffixes: dict[str, str] | None = None) -> Column:
+    """House and street in upper case, as voters' addresses are compared; null where either is absent."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _let(parsed_address(text, suffixes), lambda p: F.when(p["house"].isNotNull() & p["street"].isNotNull(), F.concat_ws(" ", p["house"], F.upper(p["street"]))))

@@ -177,3 +177,13 @@ def frequency_pair(pairs: DataFrame, person_counts: DataFrame) -> DataFrame:
     held = pairs.withColumns({"_with": F.when(either("middle") != "", F.concat_ws("|", either("last"), either("middle"), either("first"))), "_without": F.concat_ws("|", either("last"), F.lit(""), either("first"))})
     held = with_frequency(held, person_counts, FULL, "_with", "f_with")
     return with_frequency(held, person_counts, FULL, "_without", "f_without").drop("_with", "_without")
+
+
+def by_mode(pairs: DataFrame, mode: str) -> DataFrame:
+    """Pairs with the verdict of a mode: strict_address, strict_affiliation, thorough, national, or 1 to 8."""
+    strict = {"strict_address": strict_address, "strict_affiliation": strict_affiliation}
+    if mode in strict:
+        return pairs.withColumn("verdict", strict[mode]().cast("int"))
+    if mode not in ("thorough", "national", *"12345678"):
+        raise ValueError(f"no mode {mode}")
+    return compared(pairs, None if mode == "thorough" else mode)

@@ -207,3 +207,15 @@ def blurred_region(counts: list[tuple[int, int, int]], threshold: float, sigma:
         wide = np.pad(grid, pad, mode="symmetric")
         grid = sum(k * np.take(wide, range(i, i + shape[axis]), axis=axis) for i, k in enumerate(kernel))
     return [(int(a), int(b)) for a, b in zip(*np.where(grid > threshold), strict=True)]
+
+
+def related_of(adjacency_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(identity, related, verdict): the identities that were compared with the wanted ones (identity)."""
+    both = adjacency_.union(adjacency_.select("identity2", "identity1", "verdict"))
+    return both.join(wanted.selectExpr("identity identity1"), "identity1", "left_semi").selectExpr("identity1 identity", "identity2 related", "verdict")
+
+
+def linked_of(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(identity, linked): the identities of the same super identity as the wanted ones, by ``links`` (identity, super)."""
+    mine = links.join(wanted, "identity", "left_semi")
+    return mine.join(links.selectExpr("super", "identity linked"), "super").where("identity <> linked").select("identity", "linked")

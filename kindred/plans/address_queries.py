@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.functions.address import APARTMENT, BOX, PREFIXES, STATES, SUFFIXES, UNITS, parsed_address, street_line, street_line_or_box
+from kindred.functions.address import APARTMENT, BOX, PREFIXES, STATES, SUFFIXES, UNITS, house_line, parsed_address, street_line, street_line_or_box
 from kindred.plans.registry import query
 from kindred.sources.bridge import ADDRESSES, CONTRIB, addresses
 
@@ -80,3 +80,8 @@ def norm_street(spark, sf_dir):
 @query("norm_street_ngram", f"{PARSE} select raw, case when raw='' or regexp_matches(raw, {_q('^(' + BOX + ')')}, 'i') or length({LINE})<5 then raw else {LINE} end as line from said")
 def norm_street_ngram(spark, sf_dir):
     return streets(spark, sf_dir).select("raw", street_line_or_box(F.col("raw")).alias("line"))
+
+
+@query("house_street", f"{PARSE} select raw, case when house is not null and street is not null then concat(house, ' ', upper(street)) end as line from said")
+def house_street(spark, sf_dir):
+    return streets(spark, sf_dir).select("raw", house_line("raw").alias("line"))

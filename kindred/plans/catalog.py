@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.plans import address_queries, etl_queries, graph_queries, linkage_queries, scalar_queries  # noqa: F401
+from kindred.plans import address_queries, etl_queries, graph_queries, linkage_queries, scalar_queries, source_queries  # noqa: F401
 from kindred.plans.registry import ORACLES, QUERIES, Builder
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kindred.cluster import shared_dir
 from kindred.operators import etl
 from kindred.plans.registry import query
 from kindred.sources import files
@@ -24,19 +25,11 @@ CHAIN = f"{CA}, {UNIQUES}, {DUPS}, {SINGLE}, {IDENT}"
 @query("scan_psv", "select o_orderkey as id, o_orderstatus as status, o_orderpriority as priority, cast(o_custkey as varchar) as cust from orders")
 def scan_psv(spark, sf_dir):
     """Written as pipe-separated text in the shared folder and scanned again."""
-    path = shared_path(spark, "psv")
+    path = shared_dir(spark, "psv")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")).write.mode("overwrite").option("sep", "|").csv(path)
     return files.scan_psv(spark, path, spark.createDataFrame([], "id long, status string, priority string, cust string").schema)
 
 
-def shared_path(spark, name):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
-
-
 @query("retrieve", f"with {CONTRIB} select upper(NAME) as NAME, upper(CITY) as CITY, upper(EMPLOYER) as EMPLOYER, id from contrib where STATE < 'NATION_2' order by NAME, TRANSACTION_DT, id limit 200 offset 50")
 def retrieve(spark, sf_dir):
     return files.retrieved(contrib(spark, sf_dir), ["NAME", "CITY", "EMPLOYER", "id"], where="STATE < 'NATION_2'", order="NAME, TRANSACTION_DT, id", limit=(50, 200))

@@ -76,3 +76,34 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 def save_edges(df: DataFrame, path: str, kind: str = "json") -> None:
     """Edge lists, near misses and candidate pairs as JSON lines or CSV."""
     (df.write.mode("overwrite").json if kind == "json" else df.write.mode("overwrite").csv)(path)
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables: nodes (node, ...) and edges (a, b, ...)."""
+    save_table(nodes, f"{path}/nodes")
+    save_table(edges, f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def ensure_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, an empty one made there if there is none."""
+    if not exists(spark, path):
+        truncate_table(spark, path, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def truncate_table(spark: SparkSession, path: str, schema: StructType) -> None:
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
