@@ -121,3 +121,57 @@ h as (select node, min(seen) as head from r group by node)
 select w.doc_id, cast(coalesce(c.n, 0) as bigint) as n_shingles, coalesce(h.head, w.doc_id) as component_id, coalesce(h.head, w.doc_id) = w.doc_id as kept
 from w left join c on c.doc_id = w.doc_id left join h on h.node = w.doc_id
 """
+
+# --- what SQL can say of the operators that it can't express as a whole
+
+
+@query
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule")
+
+
+ORACLES["url_parts"] = r"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+p as (select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u)
+select page_id, host, path, case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+ when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+ when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/' when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from p
+"""
+
+
+@query
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.compression_quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLES["base_quality"] = r"""
+with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+h as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i+1], ws[i+2]) as n from g),
+r as (select doc_id, count(distinct k) as n from (select doc_id, unnest([i, i + 1, i + 2]) as k from h where n > 1) x group by doc_id),
+l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from w) x where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+b as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+ cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words
+ from w left join r on r.doc_id = w.doc_id left join l on l.doc_id = w.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b
+"""
+
+
+@query
+def source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size")
+
+
+ORACLES["source_sizes"] = r"""
+with w as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents)
+select doc_id, cast(size as bigint) as size, cast(sum(size) over (partition by source) as bigint) as source_size from w
+"""
+
+
+@query
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes")
+
+
+ORACLES["text_bytes"] = "select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes from documents"
