@@ -244,7 +244,7 @@ def answers(sent: DataFrame, spec: Repeats) -> DataFrame:
 
 
 def removed_windows(sent: DataFrame, found: DataFrame) -> DataFrame:
-    """key, start: first words of the windows that a document with a smaller doc_id has."""
+    """key, owner, start: the doc_id of a key, and first words of the windows that a document with a smaller doc_id has."""
     places = sent.where("shard is null").select("gid", F.col("number").alias("at"), "key", "doc_id", "start")
     per_group = found.groupBy("gid").agg(F.collect_list(F.struct("number", "count", "least")).alias("found"))
 
@@ -262,9 +262,10 @@ def removed_windows(sent: DataFrame, found: DataFrame) -> DataFrame:
                 gone = least[np.repeat(first[at], n) + inside] < np.repeat(np.where(doc_id == NO_ID, np.iinfo(np.int64).min, doc_id), n)
                 values = (np.repeat(start, n) + inside.astype(np.uint32))[gone]
                 pairs = list(by_key(np.repeat(key, n)[gone], values))
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs], pa.int64()), "start": pa.array([v for _, v in pairs], pa.binary())})
+                owner = dict(zip(key.tolist(), doc_id.tolist(), strict=True))
+                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs], pa.int64()), "owner": pa.array([owner[k] for k, _ in pairs], pa.int64()), "start": pa.array([v for _, v in pairs], pa.binary())})
 
-    return places.join(per_group, "gid").mapInArrow(run, "key long, start binary")
+    return places.join(per_group, "gid").mapInArrow(run, "key long, owner long, start binary")
 
 
 def marked(docs: DataFrame, spec: Repeats | None = None) -> DataFrame:
@@ -278,8 +279,9 @@ def marked(docs: DataFrame, spec: Repeats | None = None) -> DataFrame:
     removed(asked)
     sent = written(segments(docs.join(starts, "key"), spec, buckets), "segments")
     found = written(answers(sent, spec), "answers")
-    gone = written(removed_windows(sent, found), "windows").groupBy("key").agg(F.collect_list("start").alias("gone"))
-    return docs.join(gone, "key", "left")
+    # a key is a hash: of all documents, two may share one, but not with the doc_id
+    gone = written(removed_windows(sent, found), "windows").groupBy("key", "owner").agg(F.collect_list("start").alias("gone"))
+    return docs.join(gone, (docs.key == gone.key) & (docs.doc_id == gone.owner), "left").select(docs.key, "doc_id", "text", "gone")
 
 
 def kept_words(text: bytes | None, gone: list[bytes] | None, window: int) -> tuple[list[bytes], int]:
