@@ -379,18 +379,21 @@ def stage2_verdicts(spark, sf_dir):
     return S.stage2(m.join(S.stage1(m, lookups(spark))[0], "id"), lookups(spark))
 
 
-# --- linked identities: pairs of customers' names across nations, with synthetic codes
+# --- linked identities: pairs of customers with synthetic verdicts
 
-ADJ = """cu as (select c_custkey as k, c_nationkey as s, c_name as nm from customer), adj0 as (select concat('P',x.k % 60) as i1, concat('P',(x.k*7+x.k//60) % 60) as i2,
- case when x.k % 5=0 then -1 when x.k % 9=1 then 4 when x.k % 9=2 then 1 else 0 end as verdict from cu x),
+ADJ = """adj0 as (select concat('P',c_custkey) as i1, concat('P',c_custkey+1+c_custkey % 4) as i2,
+ case when c_custkey % 5=0 then -1 when c_custkey % 9 in (1,4,7) then 4 when c_custkey % 9 in (2,5) then 1 else 0 end as verdict from customer
+ union all select concat('P',c_custkey), concat('P',c_custkey+2), case when c_custkey % 11=0 then -1 when c_custkey % 7 in (0,3,5) then 1 else 0 end from customer),
 adj as (select least(i1,i2) as identity1, greatest(i1,i2) as identity2, max(verdict) as verdict from adj0 where i1<>i2 group by 1, 2)"""
 
 
 def adjacency_(spark, sf_dir):
-    """A table of verdicts on 60 identities, derived from the customers' numbers."""
+    """A table of verdicts on as many identities as there are customers, derived from their numbers."""
     c = table(spark, sf_dir, "customer")
-    raw = c.selectExpr("concat('P', c_custkey % 60) identity1", "concat('P', (c_custkey * 7 + c_custkey div 60) % 60) identity2", "case when c_custkey % 5 = 0 then -1 when c_custkey % 9 = 1 then 4 when c_custkey % 9 = 2 then 1 else 0 end verdict")
-    return I.adjacency(raw.where("identity1 <> identity2"))
+    code = "case when c_custkey % 5 = 0 then -1 when c_custkey % 9 in (1, 4, 7) then 4 when c_custkey % 9 in (2, 5) then 1 else 0 end verdict"
+    raw = c.selectExpr("concat('P', c_custkey) identity1", "concat('P', c_custkey + 1 + c_custkey % 4) identity2", code)
+    more = c.selectExpr("concat('P', c_custkey) identity1", "concat('P', c_custkey + 2) identity2", "case when c_custkey % 11 = 0 then -1 when c_custkey % 7 in (0, 3, 5) then 1 else 0 end verdict")
+    return I.adjacency(raw.union(more).where("identity1 <> identity2"))
 
 
 POS = "pos as (select identity1 as a, identity2 as b from adj where verdict>=1), psym as (select a, b from pos union select b, a from pos), pw(node, seen) as (select a, a from psym union select p.node, s.b from pw p join psym s on p.seen=s.a), pc as (select node, min(seen) as component from pw group by node)"
