@@ -15,16 +15,24 @@ def sign(bit: Column, token: Column) -> Column:
     return F.when(F.substr(digest, (bit % 32 + 1).cast("int"), F.lit(1)) >= "8", 1).otherwise(-1)
 
 
-def hashes(vectors: DataFrame, bits: int) -> DataFrame:
-    """(id, hash): bit k is 1 where the tokens' coordinates on probe k add up to more than 0.
+def _sums(vectors: DataFrame, bits: int) -> DataFrame:
+    """(id, s0, s1, ...): the tokens' coordinates on each probe, added up.
 
     A token's signs are computed once for all records that have it; sums are combined before they are shuffled.
     """
     flat = vectors.select("id", F.explode("tokens").alias("token"))
     signs = flat.select("token").distinct().select("token", F.array(*[sign(F.lit(k), F.col("token")) for k in range(bits)]).alias("signs"))
-    held = flat.join(signs, "token")
-    sums = held.groupBy("id").agg(*[F.sum(F.col("signs")[k]).alias(f"s{k}") for k in range(bits)])
-    return sums.select("id", F.concat(*[F.when(F.col(f"s{k}") > 0, "1").otherwise("0") for k in range(bits)]).alias("hash"))
+    return flat.join(signs, "token").groupBy("id").agg(*[F.sum(F.col("signs")[k]).alias(f"s{k}") for k in range(bits)])
+
+
+def inner_products(vectors: DataFrame, bits: int) -> DataFrame:
+    """(id, k, s): the sum of the tokens' coordinates on probe k."""
+    return _sums(vectors, bits).select("id", F.posexplode(F.array(*[f"s{k}" for k in range(bits)])).alias("k", "s"))
+
+
+def hashes(vectors: DataFrame, bits: int) -> DataFrame:
+    """(id, hash): bit k is 1 where the tokens' coordinates on probe k add up to more than 0."""
+    return _sums(vectors, bits).select("id", F.concat(*[F.when(F.col(f"s{k}") > 0, "1").otherwise("0") for k in range(bits)]).alias("hash"))
 
 
 def dense_hashes(df: DataFrame, id_col: str, vector: str, bits: int, width: int) -> DataFrame:

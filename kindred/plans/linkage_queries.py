@@ -48,8 +48,7 @@ def next_sql(source, order, n, by="STATE", out="nb"):
 
 @query("inner_product", f"{WITH}, {HASH} select id, k, cast(s as bigint) as s from sums")
 def inner_product(spark, sf_dir):
-    flat = vectors(spark, sf_dir).select("id", F.explode("tokens").alias("t")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
-    return flat.groupBy("id", "k").agg(F.sum(L.sign(F.col("k"), F.col("t"))).alias("s"))
+    return L.inner_products(written(vectors(spark, sf_dir), "vectors"), BITS)
 
 
 @query("srp_hash", f"{WITH}, {HASH} select id, hash from hashed")
