@@ -101,13 +101,9 @@ NAT += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f
 IDP = "idn as (select id, concat(STATE,'|',NAME) as identity from members), idp as (select least(x.identity,y.identity) as identity1, greatest(x.identity,y.identity) as identity2, cast(sum(count) as bigint) as count from cand join idn x on x.id=cand.a join idn y on y.id=cand.b where x.identity<>y.identity group by 1, 2)"
 
 
-def candidates(spark, sf_dir):
-    return L.candidate_pairs(hashed(spark, sf_dir), BITS, ROUNDS, SEARCH.near, ["STATE"])
-
-
-def national(spark, sf_dir):
-    """Candidates over all states, which pairs of identities are drawn from."""
-    return L.candidate_pairs(hashed(spark, sf_dir), BITS, SEARCH.national_rounds, SEARCH.national_near, [])
+def national(spark, sf_dir, least=1):
+    """Pairs of identities that are neighbours over all states."""
+    return L.identity_neighbours(hashed(spark, sf_dir), BITS, SEARCH.national_rounds, SEARCH.national_near, members(spark, sf_dir).select("id", "identity"), least)
 
 
 @query("candidate_pairs", f"{WITH}, {HASH}, {CAND} select a, b, count from cand where count>1")
@@ -117,17 +113,17 @@ def candidate_pairs(spark, sf_dir):
 
 @query("nat_pairs", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1")
 def nat_pairs(spark, sf_dir):
-    return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir))
+    return national(spark, sf_dir)
 
 
 @query("identity_pair_weight", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>2")
 def identity_pair_weight(spark, sf_dir):
-    return L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir), 2)
+    return national(spark, sf_dir, 2)
 
 
 @query("candidate_topn", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1 order by count desc, identity1, identity2 limit 100")
 def candidate_topn(spark, sf_dir):
-    return L.top_pairs(L.identity_pairs(national(spark, sf_dir), members(spark, sf_dir)), 100)
+    return L.top_pairs(national(spark, sf_dir), 100)
 
 
 @query("stage1_pairs", f"{WITH}, {HASH}, {CAND}, {RUNS}, {next_sql('members', 'NAME', SEARCH.near_names)} select a, b from cand union select a, b from runs union select a, b from nb")

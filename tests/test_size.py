@@ -21,3 +21,49 @@ def test_products_sign_a_token_once(spark):
     signs = spark.createDataFrame([(t, k) for t in words for k in range(60)], "t string, k long").select("t", "k", lsh.sign(F.col("k"), F.col("t")).alias("s"))
     one = {(r.t, r.k): r.s for r in signs.collect()}
     assert {(r.id, r.k): r.s for r in found.collect()} == {(i, k): sum(one[t, k] for t in ts) for i, ts in rows for k in range(60)}
+
+
+BITS, ROUNDS, NEAR = 12, 5, 3
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Records of which every third has one hash, with ids that don't fit four bytes and far more rows than a group of neighbours."""
+    each = [(i * 10**9 - 7, "a" if i % 4 else None, f"n{i * 31 % 17}", f"p{i * 7919 % 23}", "0" * BITS if i % 3 == 0 else f"{i * 2654435761 % 4096:012b}") for i in range(300)]
+    return spark.createDataFrame(each, "id long, STATE string, NAME string, identity string, hash string").repartition(5).cache()
+
+
+def near(rows, by, order, n):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (order(r), r.id)):
+        groups.setdefault(by(r), []).append(r)
+    return [(g[i], g[j]) for g in groups.values() for i in range(len(g)) for j in range(i + 1, min(len(g), i + n + 1))]
+
+
+def met(rows, by):
+    orders = [lsh.permutation(BITS, r) for r in range(ROUNDS)]
+    return [p for order in orders for p in near(rows, by, lambda r, order=order: "".join(r.hash[k - 1] for k in order), NEAR)]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_identities_are_counted_without_pairs_of_records(rows, least):
+    found = lsh.identity_neighbours(rows, BITS, ROUNDS, NEAR, rows.select("id", "identity"), least)
+    want = Counter(tuple(sorted((x.identity, y.identity))) for x, y in met(rows.collect(), lambda r: 0) if x.identity != y.identity)
+    assert {(r.identity1, r.identity2): r["count"] for r in found.collect()} == {k: n for k, n in want.items() if n > least}
+    assert "a#" not in plan(found) and "b#" not in plan(found)
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_candidates_travel_packed(rows, least):
+    found = lsh.candidate_pairs(rows, BITS, ROUNDS, NEAR, ["STATE"], least)
+    want = Counter(tuple(sorted((x.id, y.id))) for x, y in met(rows.collect(), lambda r: r.STATE))
+    assert {(r.a, r.b): r["count"] for r in found.collect()} == {k: n for k, n in want.items() if n > least}
+    assert "FlatMapGroupsInArrow" in plan(found) and "Aggregate" not in plan(found)
+
+
+def test_all_candidates_hold_each_pair_once(rows):
+    found = [(r.a, r.b) for r in lsh.all_candidates(rows, BITS, ROUNDS, NEAR, rows, 4, ["STATE"]).collect()]
+    held = rows.collect()
+    want = {tuple(sorted((x.id, y.id))) for x, y in met(held, lambda r: r.STATE) + near(held, lambda r: r.STATE, lambda r: r.NAME, 4)}
+    want |= {(r.a, r.b) for r in lsh.hash_runs(rows, "hash", ["STATE"]).collect()}
+    assert len(found) == len(set(found)) and set(found) == want
