@@ -108,7 +108,7 @@ def national(spark, sf_dir, least=1):
 
 @query("candidate_pairs", f"{WITH}, {HASH}, {CAND} select a, b, count from cand where count>1")
 def candidate_pairs(spark, sf_dir):
-    return candidates(spark, sf_dir).where(F.col("count") > 1)
+    return L.candidate_pairs(hashed(spark, sf_dir), BITS, ROUNDS, SEARCH.near, ["STATE"], 1)
 
 
 @query("nat_pairs", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1")
