@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its smallest neighbour, follows the pointers twice, and contracts the edges to
     what they point at; a star is done in one round and a path of n nodes in about log n rounds. What each round
-    leaves is written to the shared folder, so lost executors cost one round at most.
+    leaves is written to the shared folder, so lost executors cost one round at most. Files of numbers look small to
+    Spark; the hints keep tables of nodes from being sent through the driver.
     """
     labels = written(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component")), "labels")
     edges = written(edges.where("a <> b").select(*ordered_pair("a", "b")).distinct(), "edges")
@@ -36,10 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         point = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
         point = written(point, "pointers")
         for _ in range(2):
-            point = point.join(point.selectExpr("node to", "to after"), "to", "left").select("node", F.coalesce("after", "to").alias("to"))
+            point = point.join(point.selectExpr("node to", "to after").hint("merge"), "to", "left").select("node", F.coalesce("after", "to").alias("to"))
         point = written(point, "pointers")
-        labels = written(labels.join(point.selectExpr("node component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        edges = edges.join(point.selectExpr("node a", "to ta"), "a").join(point.selectExpr("node b", "to tb"), "b")
+        labels = written(labels.join(point.selectExpr("node component", "to").hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        edges = edges.join(point.selectExpr("node a", "to ta").hint("merge"), "a").join(point.selectExpr("node b", "to tb").hint("merge"), "b")
         edges = written(edges.where("ta <> tb").select(*ordered_pair("ta", "tb")).distinct(), "edges")
     return labels
 

@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import lsh
+from kindred.operators import affiliation, compare, identity, lsh, tokens
+from kindred.plans import graph_queries
+from kindred.sources import bridge
 
 
 def plan(df):
@@ -67,3 +69,26 @@ def test_all_candidates_hold_each_pair_once(rows):
     want = {tuple(sorted((x.id, y.id))) for x, y in met(held, lambda r: r.STATE) + near(held, lambda r: r.STATE, lambda r: r.NAME, 4)}
     want |= {(r.a, r.b) for r in lsh.hash_runs(rows, "hash", ["STATE"]).collect()}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_tables_of_records_are_not_broadcast(spark):
+    """Parquet files of numbers are far smaller than their rows in the driver's memory."""
+    members = lsh.written(spark.range(1000).selectExpr("id", "id div 4 component", "element_at(array('A', 'B', ''), int(id % 3) + 1) middle_name", "'S' STATE", "concat('L', id) last_name"), "members")
+    verdicts = lsh.written(spark.range(999).selectExpr("id a", "id + 1 b", "int(id % 2) verdict"), "verdicts")
+    split = identity.split_on_middle(members.select("id", "component", "middle_name"), verdicts)
+    label = identity.labelled(split.join(members.select("id", "STATE", "last_name").hint("merge"), "id"), ["component", "spawn"])
+    for df in (split, label):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert split.count() == label.count() == 1000
+
+
+def test_codes_by_values_are_those_of_pairs(spark, sf_dir):
+    m = lsh.written(graph_queries.members(spark, sf_dir), "members")
+    m = lsh.written(m.withColumn("EMPLOYER", F.when(F.col("id") % 13 != 0, F.col("EMPLOYER"))), "members")
+    pairs = lsh.written(lsh.neighbours(m, ["NAME"], 3, ["STATE"]).select("a", "b"), "pairs")
+    e, o = (affiliation.transition_edges(m, "identity", "TRANSACTION_DT", f).withColumn("significance", F.lit(1.0)) for f in ("EMPLOYER", "OCCUPATION"))
+    look = tokens.token_counts(m, tokens.name_tokens()), bridge.variants(spark), bridge.known_names(spark), e, o
+    columns = ["a", "b", "n", "e", "o", "context", "verdict"]
+    found = compare.compared_by_values(m, pairs, *look).select(columns)
+    want = compare.compared(compare.with_lookups(compare.pairs_of(m, pairs, compare.FIELDS), *look)).select(columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
