@@ -27,8 +27,13 @@ BITS, ROUNDS = SEARCH.bits, SEARCH.rounds
 # --- hashes and neighbours
 
 
+def spread(spark, sf_dir):
+    """The members' fields, parsed by as many tasks as there are shuffle partitions, however small the joined tables are."""
+    return K.normalised(contrib(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
+
+
 def vectors(spark, sf_dir):
-    m = members(spark, sf_dir)
+    m = spread(spark, sf_dir)
     return K.vectors(m, F.concat(K.name_tokens(), K.field_tokens())).select("id", F.transform("tokens", lambda t: F.concat_ws(":", t["type"].cast("string"), t["tok"])).alias("tokens"))
 
 
@@ -101,9 +106,9 @@ NAT += ", cand as (select a, b, count(*) as count from (" + " union all ".join(f
 IDP = "idn as (select id, concat(STATE,'|',NAME) as identity from members), idp as (select least(x.identity,y.identity) as identity1, greatest(x.identity,y.identity) as identity2, cast(sum(count) as bigint) as count from cand join idn x on x.id=cand.a join idn y on y.id=cand.b where x.identity<>y.identity group by 1, 2)"
 
 
-def national(spark, sf_dir, least=1):
+def national(spark, sf_dir, least=1, most=None):
     """Pairs of identities that are neighbours over all states."""
-    return L.identity_neighbours(hashed(spark, sf_dir), BITS, SEARCH.national_rounds, SEARCH.national_near, members(spark, sf_dir).select("id", "identity"), least)
+    return L.identity_neighbours(hashed(spark, sf_dir), BITS, SEARCH.national_rounds, SEARCH.national_near, members(spark, sf_dir).select("id", "identity"), least, most)
 
 
 @query("candidate_pairs", f"{WITH}, {HASH}, {CAND} select a, b, count from cand where count>1")

@@ -55,6 +55,27 @@ def test_identities_are_counted_without_pairs_of_records(rows, least):
     assert "a#" not in plan(found) and "b#" not in plan(found)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 40, 2])
+def test_packed_runs_are_in_order_across_their_bounds(rows, block):
+    held = rows.selectExpr("id", "hash", "id * 3 number")
+    found = [(memoryview(bytes(r.own)).cast("q").tolist(), r.next or []) for r in lsh._packed_runs(held, BITS, ROUNDS, NEAR, block).collect()]
+    assert len(found) == ROUNDS if block > 300 else len(found) > 3 * ROUNDS
+    got = Counter((own[i], x) for own, ahead in found for i in range(len(own)) for x in (own + ahead)[i + 1 : i + NEAR + 1])
+    want = Counter()
+    for order in [lsh.permutation(BITS, r) for r in range(ROUNDS)]:
+        want += Counter((x.number, y.number) for x, y in near(held.collect(), lambda r: 0, lambda r, order=order: "".join(r.hash[k - 1] for k in order), NEAR))
+    assert got == want
+
+
+def test_hashes_make_no_row_for_a_token(spark):
+    rows = [(i, [f"w{i % 3}", f"v\u00e9{i % 5}"][: i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    found = lsh.hashes(df, 60)
+    assert "Generate" not in plan(found)
+    sums = {(r.id, r.k): r.s for r in lsh.inner_products(df, 60).collect()}
+    assert {r.id: r.hash for r in found.collect()} == {i: "".join("1" if sums[i, k] > 0 else "0" for k in range(60)) for i, t in rows if t}
+
+
 @pytest.mark.parametrize("least", [0, 1])
 def test_candidates_travel_packed(rows, least):
     found = lsh.candidate_pairs(rows, BITS, ROUNDS, NEAR, ["STATE"], least)
