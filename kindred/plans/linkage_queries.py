@@ -128,7 +128,7 @@ def identity_pair_weight(spark, sf_dir):
 
 @query("candidate_topn", f"{WITH}, {HASH}, {NAT}, {IDP} select * from idp where count>1 order by count desc, identity1, identity2 limit 100")
 def candidate_topn(spark, sf_dir):
-    return L.top_pairs(national(spark, sf_dir), 100)
+    return L.top_pairs(national(spark, sf_dir, most=100), 100)
 
 
 @query("stage1_pairs", f"{WITH}, {HASH}, {CAND}, {RUNS}, {next_sql('members', 'NAME', SEARCH.near_names)} select a, b from cand union select a, b from runs union select a, b from nb")

@@ -67,6 +67,16 @@ def test_packed_runs_are_in_order_across_their_bounds(rows, block):
     assert got == want
 
 
+def test_most_frequent_identities_are_chosen_before_names(rows):
+    """Only each bucket's first pairs leave it, and the most frequent of all are among them."""
+    args = rows, BITS, ROUNDS, NEAR, rows.select("id", "identity")
+    every = lsh.identity_neighbours(*args).collect()
+    few = lsh.identity_neighbours(*args, most=7)
+    assert few.count() == 7 < len(every)
+    want = sorted(every, key=lambda r: (-r["count"], r.identity1, r.identity2))[:7]
+    assert lsh.top_pairs(few, 7).collect() == want
+
+
 def test_hashes_make_no_row_for_a_token(spark):
     rows = [(i, [f"w{i % 3}", f"v\u00e9{i % 5}"][: i % 4]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, tokens array<string>")
