@@ -74,6 +74,17 @@ def test_stage1_is_that_of_all_pairs(records, lookups, first):
     assert {frozenset(g) for g in got.values()} == want
 
 
+def test_only_pairs_that_names_pass_are_joined_with_records(records, lookups, first, monkeypatch):
+    seen = []
+    whole = compare.compared_by_values
+    monkeypatch.setattr(compare, "compared_by_values", lambda records, pairs, *more: seen.append(pairs.count()) or whole(records, pairs, *more))
+    found = {(r.a, r.b) for r in stages.matches(records, lookups, FIXTURE).collect()}
+    every = first[1].collect()
+    assert found == {(r.a, r.b) for r in every if r.verdict == 1} and found
+    assert seen == [sum(r.n >= 2 for r in every)] and seen[0] < len(every)
+    assert {(r.id, r.identity) for r in stages.identities(records, lookups, FIXTURE).collect()} == {(r.id, r.identity) for r in first[0].collect()}
+
+
 def test_stage2_codes_are_those_of_all_record_pairs(spark, records, lookups, first):
     held = records.join(first[0], "id")
     near = lsh.candidate_pairs(stages.hashed(records, FIXTURE), FIXTURE.bits, FIXTURE.national_rounds, FIXTURE.national_near, [])
