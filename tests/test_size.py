@@ -123,3 +123,41 @@ def test_codes_by_values_are_those_of_pairs(spark, sf_dir):
     found = compare.compared_by_values(m, pairs, *look).select(columns)
     want = compare.compared(compare.with_lookups(compare.pairs_of(m, pairs, compare.FIELDS), *look)).select(columns)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def wanted_candidates(rows):
+    held = rows.collect()
+    want = {tuple(sorted((x.id, y.id))) for x, y in met(held, lambda r: r.STATE) + near(held, lambda r: r.STATE, lambda r: r.NAME, 4)}
+    return want | {(r.a, r.b) for r in lsh.hash_runs(rows, "hash", ["STATE"]).collect()}
+
+
+@pytest.mark.parametrize("task", [1 << 27, 700])
+def test_candidates_of_a_group_are_neither_stored_nor_counted(rows, monkeypatch, task):
+    monkeypatch.setattr(lsh, "TASK", task)
+    for name in ("_packets", "_counted"):
+        monkeypatch.setattr(lsh, name, lambda *_: pytest.fail("pairs travel"))
+    found = [(r.a, r.b) for r in lsh.all_candidates(rows, BITS, ROUNDS, NEAR, rows, 4, ["STATE"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted_candidates(rows)
+
+
+def test_candidates_of_a_group_too_large_for_a_task(rows, monkeypatch):
+    monkeypatch.setattr(lsh, "GROUP", 10)
+    found = [(r.a, r.b) for r in lsh.all_candidates(rows, BITS, ROUNDS, NEAR, rows, 4, ["STATE"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted_candidates(rows)
+
+
+def test_candidates_with_repeated_ids_and_rows_without_hash_or_name(rows, monkeypatch):
+    monkeypatch.setattr(lsh, "PACKET", 200)
+    twice = rows.union(rows.where("id % 7 = 0")).withColumn("NAME", F.expr("if(id % 5 = 0, null, NAME)"))
+    found = [(r.a, r.b) for r in lsh.all_candidates(twice, BITS, ROUNDS, NEAR, twice, 4, ["STATE"]).collect()]
+    assert len(found) == len(set(found))
+    none_first = lambda r: (r.NAME is not None, r.NAME or "")
+    held = twice.collect()
+    want = {tuple(sorted((x.id, y.id))) for x, y in met(held, lambda r: r.STATE) + near(held, lambda r: r.STATE, none_first, 4)}
+    want |= {(r.a, r.b) for r in lsh.hash_runs(twice, "hash", ["STATE"]).collect()}
+    assert set(found) == {p for p in want if p[0] != p[1]}
+    hashless = lsh.all_candidates(rows.where("id % 2 = 0"), BITS, ROUNDS, NEAR, rows, 4, ["STATE"]).collect()
+    few = [r for r in rows.collect() if r.id % 2 == 0]
+    want = {tuple(sorted((x.id, y.id))) for x, y in met(few, lambda r: r.STATE) + near(rows.collect(), lambda r: r.STATE, lambda r: r.NAME, 4)}
+    want |= {(r.a, r.b) for r in lsh.hash_runs(rows.where("id % 2 = 0"), "hash", ["STATE"]).collect()}
+    assert len(hashless) == len({(r.a, r.b) for r in hashless}) and {(r.a, r.b) for r in hashless} == want
