@@ -330,8 +330,8 @@ GROUP = 3_000_000
 TASK = 1 << 27
 
 
-def packed_groups(df: DataFrame, by: list[str], numbers: list[str], text: str) -> DataFrame:
-    """(by, numbers, text): the rows of a group packed, many in one row; ``numbers`` as eight bytes each, ``text`` as a list."""
+def packed_groups(df: DataFrame, by: list[str], numbers: list[str], texts: list[str]) -> DataFrame:
+    """(by, numbers, texts): the rows of a group packed, many in one row; ``numbers`` as eight bytes each, ``texts`` as lists."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -346,9 +346,9 @@ def packed_groups(df: DataFrame, by: list[str], numbers: list[str], text: str) -
             starts = np.flatnonzero(np.diff(group[order], prepend=-1))
             ends = np.append(starts[1:], len(order))
             own = [table.column(k).chunk(0).to_numpy(zero_copy_only=False).astype(np.int64)[order] for k in numbers]
-            words = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), table.column(text).chunk(0).take(pa.array(order)))
+            words = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), table.column(k).chunk(0).take(pa.array(order))) for k in texts]
             keys = [table.column(k).chunk(0).take(pa.array(order[starts])) for k in by]
-            yield pa.RecordBatch.from_arrays([*keys, *[pa.array([v[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for v in own], words], [*by, *numbers, text])
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array([v[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for v in own], *words], [*by, *numbers, *texts])
 
         for batch in batches:
             if batch.num_rows:
@@ -358,26 +358,32 @@ def packed_groups(df: DataFrame, by: list[str], numbers: list[str], text: str) -
         if held:
             yield from flush()
 
-    schema = T.StructType([*[df.schema[k] for k in by], *[T.StructField(k, T.BinaryType()) for k in numbers], T.StructField(text, T.ArrayType(T.StringType()))])
-    return df.select(*by, *[F.col(k).cast("long").alias(k) for k in numbers], text).mapInArrow(pack, schema)
+    schema = T.StructType([*[df.schema[k] for k in by], *[T.StructField(k, T.BinaryType()) for k in numbers], *[T.StructField(k, T.ArrayType(T.StringType())) for k in texts]])
+    return df.select(*by, *[F.col(k).cast("long").alias(k) for k in numbers], *texts).mapInArrow(pack, schema)
 
 
 class Group:
-    """The rows of a group by ascending id: ``number`` and more numbers of each, and the orders in which they are neighbours."""
-
-    def __init__(self, names: pa.Table, hashes: pa.Table, numbers: list[str], bits: int, rounds: int, n: int, near_names: int):
-        held = [{k: self._whole(t, k) for k in ("id", *numbers)} for t in (names, hashes)]
-        ids = np.concatenate([x["id"] for x in held])
-        self.ids, first = np.unique(ids, return_index=True)
-        self.repeated = any(len(np.unique(x["id"])) < len(x["id"]) for x in held)
-        self.numbers = {k: np.concatenate([x[k] for x in held])[first] for k in numbers}
+    """The rows of a group by ascending id, with ``numbers`` and ``texts`` of each, and the orders in which they are neighbours.
+
+    A text is told by its place in the order of the group's values, from 1 on; 0 is null.
+    """
+
+    def __init__(self, names: pa.Table, hashes: pa.Table, numbers: list[str], texts: list[str], bits: int, rounds: int, n: int, near_names: int):
+        ids = [self._whole(t, "id") for t in (names, hashes)]
+        self.ids = np.unique(np.concatenate(ids))
+        self.repeated = any(len(np.unique(x)) < len(x) for x in ids)
+        at = [np.searchsorted(self.ids, x).astype(np.int32) for x in ids]
+        self.numbers = {k: np.zeros(len(self.ids), np.int64) for k in numbers}
+        for place, table in ((at[1], hashes), (at[0], names)):
+            for k in numbers:
+                if not table.column(k).null_count:
+                    self.numbers[k][place] = self._whole(table, k)
+        self.texts = {k: np.zeros(len(self.ids), np.int32) for k in texts}
+        for k in texts:
+            self.texts[k][at[0]] = self._places(names, k)
         self.orders: list[tuple[np.ndarray, int]] = []
-        at = [np.searchsorted(self.ids, x["id"]).astype(np.int32) for x in held]
         if len(at[0]):
-            words = pa.concat_arrays([x.flatten() for x in names.column("NAME").chunks]).dictionary_encode()
-            place = np.zeros(len(words.dictionary) + 1, np.int32)  # the last is that of rows without a name
-            place[pc.array_sort_indices(words.dictionary).to_numpy()] = np.arange(1, len(place))
-            self._add(at[0], place[words.indices.fill_null(-1).to_numpy(zero_copy_only=False)], near_names)
+            self._add(at[0], self._places(names, "NAME"), near_names)
         self.by_id = at[1][np.argsort(at[1], kind="stable")]
         self.equal = np.zeros(0, bool)
         if len(at[1]):
@@ -399,6 +405,15 @@ class Group:
     def _whole(table: pa.Table, k: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]])
 
+    @staticmethod
+    def _places(table: pa.Table, k: str) -> np.ndarray:
+        if not table.num_rows:
+            return np.zeros(0, np.int32)
+        words = pa.concat_arrays([x.flatten() for x in table.column(k).chunks]).dictionary_encode()
+        place = np.zeros(len(words.dictionary) + 1, np.int32)  # the last is that of rows without a text
+        place[pc.array_sort_indices(words.dictionary).to_numpy()] = np.arange(1, len(place))
+        return place[words.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+
     def _add(self, at: np.ndarray, key: np.ndarray, n: int) -> None:
         self.orders.append((at[np.lexsort((at, key))], n))
 
@@ -456,15 +471,16 @@ class Group:
             yield np.divmod(np.unique(np.concatenate(keys)), len(self.ids))
 
 
-def _as_group(batches: Iterator[pa.RecordBatch], numbers: list[str], bits: int, rounds: int, n: int, near_names: int) -> Group:
-    table = pa.Table.from_batches(list(batches))
+def as_group(table: pa.Table, numbers: list[str], texts: list[str], bits: int, rounds: int, n: int, near_names: int) -> Group:
+    """The group of packed rows that ``grouped`` gives."""
     names, hashes = table.filter(pc.is_valid(table.column("NAME"))), table.filter(pc.is_valid(table.column("hash")))
-    return Group(names, hashes, numbers, bits, rounds, n, near_names)
+    return Group(names, hashes, numbers, texts, bits, rounds, n, near_names)
 
 
-def grouped(hashed: DataFrame, records: DataFrame, by: list[str], numbers: list[str]) -> tuple[DataFrame, int]:
-    """The rows (by, id, numbers, NAME, hash) of both tables packed by group, names and hashes apart, and the rows of the largest group."""
-    parts = [packed_groups(df, by, ["id", *[k for k in numbers if k != "id"]], text) for df, text in ((records, "NAME"), (hashed, "hash"))]
+def grouped(hashed: DataFrame, records: DataFrame, by: list[str], numbers: list[str], texts: list[str]) -> tuple[DataFrame, int]:
+    """The rows (by, id, numbers, NAME, texts, hash) of both tables packed by group, names and hashes apart, and the rows of the largest group."""
+    own = ["id", *[k for k in numbers if k != "id"]]
+    parts = [packed_groups(records, by, own, ["NAME", *texts]), packed_groups(hashed, by, [k for k in own if k in hashed.columns], ["hash"])]
     held = written(parts[0].unionByName(parts[1], allowMissingColumns=True), "groups")
     sizes = held.groupBy(*by).agg(F.sum(F.when(F.col("NAME").isNotNull(), F.octet_length("id") / 8)).alias("r"), F.sum(F.when(F.col("hash").isNotNull(), F.octet_length("id") / 8)).alias("h"))
     most = sizes.agg(F.max(F.greatest("r", "h"))).first()[0]
@@ -488,13 +504,13 @@ def all_candidates(hashed: DataFrame, bits: int, rounds: int, n: int, records: D
     if bits > 63:
         raise ValueError("hashes of more than 63 bits do not fit a number")
     numbers = list(dict.fromkeys(["id", payload]))
-    held, most = grouped(hashed, records, by, numbers)
+    held, most = grouped(hashed, records, by, numbers, [])
     if most > GROUP:
         return _counted_candidates(hashed, bits, rounds, n, records, near_names, by, payload)
     parts = 1 + most * (rounds * n + near_names) // TASK
 
     def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = _as_group(batches, numbers, bits, rounds, n, near_names)
+        group = as_group(pa.Table.from_batches(list(batches)), numbers, [], bits, rounds, n, near_names)
         number = group.numbers[payload]
         for x, y in group.pairs(key[-1].as_py(), parts):
             for i in range(0, len(x), BLOCK):
