@@ -53,3 +53,14 @@ def test_votes_are_those_of_tables(spark):
     want = {r.id: (r.component, r.spawn) for r in identity.split_on_middle(members, matches).collect()}
     assert {i: (int(label[i]), chr(s) if s else "") for i, s in enumerate(votes.spawn(label))} == want
     assert len({s for _, s in want.values()}) > 3
+
+
+def test_national_pairs_carry_numbers(records, lookups, monkeypatch):  # noqa: F811
+    """Neither names of identities nor names of people are written for pairs of the second stage."""
+    seen = {}
+    whole = stages.written
+    monkeypatch.setattr(stages, "written", lambda df, purpose: seen.setdefault(purpose, []).append(dict(df.dtypes)) or whole(df, purpose))
+    held = records.withColumn("identity", F.concat_ws("-", "STATE", (F.col("id") % 40).cast("string")))
+    found = stages.stage2(held, lookups, FIXTURE).collect()
+    assert all(r.identity1 < r.identity2 and r.identity1.startswith("NATION_") for r in found)
+    assert [set(t.values()) for k in ("national", "names", "work") for t in seen[k]] == [{"bigint"}] * 6
